@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import language, near_dedup, packing, token_counts
+from helixframe.llm import language, near_dedup, packing, substring_dedup, token_counts
 from helixframe.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "spans")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeats(docs, substring_dedup.indexed(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_minhash, op8_token_counts, op9_language)}
+    return {f.__name__: f for f in (op2_packing, op4_minhash, op8_token_counts, op9_language, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
