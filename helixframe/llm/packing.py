@@ -8,7 +8,6 @@ batches from. The cut is local to a document, so there is no shuffle, and any ex
 
 from __future__ import annotations
 
-import base64  # noqa: F401  (vocabulary files in rank form are base64)
 import json
 import zlib
 from collections.abc import Iterator

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontamination, language, near_dedup, packing, pii, substring_dedup, token_counts
+from helixframe.llm import decontamination, language, near_dedup, packing, pii, substring_dedup, token_counts, warc
 from helixframe.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "helixframe")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -53,7 +57,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_decontamination, op4_minhash, op5_pii, op8_token_counts, op9_language, op10_substring)}
+    return {f.__name__: f for f in (op2_packing, op3_decontamination, op4_minhash, op5_pii, op7_warc, op8_token_counts, op9_language, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
