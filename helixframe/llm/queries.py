@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontamination, language, near_dedup, packing, pii, substring_dedup, token_counts, warc
+from helixframe.llm import decontamination, html_text, language, near_dedup, packing, pii, substring_dedup, token_counts, warc
 from helixframe.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -57,7 +61,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_decontamination, op4_minhash, op5_pii, op7_warc, op8_token_counts, op9_language, op10_substring)}
+    return {f.__name__: f for f in (op1_html, op2_packing, op3_decontamination, op4_minhash, op5_pii, op7_warc, op8_token_counts, op9_language, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
