@@ -91,8 +91,11 @@ def overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id") -> DataF
         hits = hits.where(F.col("own").eqNullSafe(F.col("item_id"))).drop("own").where(~_goes_on())
     best, near = _matches()
     judged = hits.withColumn("near", near).select(key, "item_id", _window().alias("window"), best.alias("matches"))
-    passed = judged.where(F.col("matches") >= F.col("window") - F.floor(F.col("window") * TOLERANCE / 100))
-    return passed.groupBy(key, "item_id").agg(F.max("window").alias("window"), F.max("matches").alias("matches"))
+    enough = F.col("matches") >= F.col("window") - F.floor(F.col("window") * TOLERANCE / 100)
+    # Filtered after the sum only: before it, the filter would become part of the join, whose condition must be one that
+    # is compiled, or every position of a text would be written out with all the text's tokens.
+    best_of = judged.groupBy(key, "item_id").agg(F.max(F.when(enough, F.col("window"))).alias("window"), F.max(F.when(enough, F.col("matches"))).alias("matches"))
+    return best_of.where("matches is not null")
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
