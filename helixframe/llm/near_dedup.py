@@ -6,10 +6,10 @@ They are found without counting all collisions: the pairs of a set are put in or
 in MATCHES places must meet in the prefixes that leave out the MATCHES - 1 most frequent ones. Only prefixes are
 joined; the skipped, frequent lists are merged against for the pairs met there. What remains is confirmed on full sets.
 
-A posting list can hold a third of the corpus, so its members are never paired off with each other. In each round the
-members of a list are held against one leader; confirmed links contract into components; and only lists that still
-span several components go on. When few pairs are left across components, they are all held against each other, so the
-components are those of the full graph.
+A posting list can hold a third of the corpus, and one pair can meet in dozens of lists, so pairs are not written out.
+Every set goes to one home, the longest of its lists, and visits the homes of those it meets elsewhere; a home with many
+sets is dealt out as pairs of blocks of bounded size. Inside such a cell all pairs are compared at once, and only links
+that connect something new are given back. Components of these links are those of all links.
 """
 
 from __future__ import annotations
@@ -29,10 +29,8 @@ from helixframe.llm.components import components
 SHINGLE, COORDINATES, MATCHES = 5, 64, 30
 #: Similarity in hundredths from which two documents are linked.
 SIMILARITY = 75
-MEMO_WORDS = 400_000
-#: Pairs across components, as a multiple of all postings, up to which they are simply all compared.
-LEFT_PER_POSTING = 2
-MAX_ROUNDS = 12
+#: Sets and shingles of a block, and columns that a cell's sets are multiplied by at a time.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,14 +38,9 @@ _ADDENDS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _PLACES = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; computing one costs less than remembering it, as most words are rare."""
+    return np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), dtype=">u8").astype(np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,12 +52,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingle_set(text: str | None, memo: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``text``; A-Z count as lower case."""
     words = (text or "").encode().lower().split()
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=len(words))] if words else [], dtype=np.uint64)
-    w = np.array([memo[x] for x in words], dtype=np.uint64)
+    w = word_hashes(words)
     n = len(w) - SHINGLE + 1
     h = np.zeros(n, dtype=np.uint64)
     for i, place in enumerate(_PLACES):
@@ -83,32 +76,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _per_row(make: Callable, types: dict[str, pa.DataType]) -> Callable:
-    """A function over Arrow batches that makes a row, or none, of each row with ``make(memo, *row)``."""
+    """A function over Arrow batches that makes a row, or none, of each row with ``make(*row)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for b in batches:
-            rows = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) if (r := make(memo, *row)) is not None]
+            rows = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) if (r := make(*row)) is not None]
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], names=list(types))
 
     return run
 
 
-def _signed(memo: WordHashes, doc_id: int | None, text: str | None) -> tuple:
-    s = shingle_set(text, memo)
+def _signed(doc_id: int | None, text: str | None) -> tuple:
+    s = shingle_set(text)
     key = hashlib.md5(text.encode()).digest() if text is not None else None
     if not len(s):
         return doc_id, key, 0, None, None
     return doc_id, key, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s)
 
 
-def _packed(memo: WordHashes, doc_id: int | None, text: str | None) -> tuple | None:
+def _packed(doc_id: int | None, text: str | None) -> tuple | None:
     return text and (doc_id, hashlib.md5(text.encode()).digest(), zstandard.compress(text.encode(), 1)) or None
 
 
-def _sets(memo: WordHashes, cid: int, z: bytes) -> tuple:
-    return cid, shingle_set(zstandard.decompress(z).decode(), memo).view(np.int64)
+def _sets(cid: int, keys: list[int], z: bytes) -> tuple:
+    return cid, keys, shingle_set(zstandard.decompress(z).decode()).view(np.int64)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -121,56 +113,74 @@ def _postings(classes: DataFrame) -> DataFrame:
     return lists.select("cid", F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "cid")
 
 
+def _cell(cell: pa.Table) -> pa.Table:
+    """(u, v) of links that connect the sets of a cell, where both are in different sides (if it has two) and one is at home."""
+    ids, home, side = (cell[c].to_numpy() for c in ("cid", "at_home", "side"))
+    first = np.unique(ids, return_index=True)[1]  # a repeated row brings its set again
+    ids, home, side = ids[first], home[first], side[first]
+    cell = cell.take(pa.array(first))
+    keys = cell["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
+    lists = cell["shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    _, column, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    # Columns of shingles that only one set has add nothing.
+    place = np.cumsum(often > 1) - 1
+    shared = often[column] > 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        m = np.zeros((len(ids), min(COLUMNS, int(column[-1]) + 1 - start)), dtype=np.float32)
+        m[row[a:b], column[a:b] - start] = 1
+        both += m @ m.T
+    union = sizes[:, None] + sizes[None, :] - both
+    linked = np.triu(both * 100 >= union * SIMILARITY, 1) & (home[:, None] | home[None, :])
+    if side.any() and not side.all():
+        linked &= side[:, None] != side[None, :]
+    leads, out = list(range(len(ids))), []
+    for i, j in np.argwhere(linked).tolist():
+        if (keys[i] == keys[j]).sum() < MATCHES:
+            continue
+        x, y = i, j
+        while leads[x] != x:
+            leads[x] = x = leads[leads[x]]
+        while leads[y] != y:
+            leads[y] = y = leads[leads[y]]
+        if x != y:
+            leads[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    u, v = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Node and component of every class of equal shingle sets that is linked with another; ``classes``: cid, doc_id, text_key, keys."""
+    """(u, v) that connect the classes of equal sets as all links do; ``classes``: cid, doc_id, text_key, n_shingles, keys."""
     posts = written(_postings(classes), "postings")
-    able = posts.select("cid").distinct()
-    wanted = classes.join(able, "cid", "left_semi").select("cid", F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
+    size = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_posts = posts.join(size, "key")
+    homes = written(open_posts.groupBy("cid").agg(F.max(F.struct("n", "key")).alias("most")).select("cid", F.col("most.key").alias("home")), "homes")
+    # Of two homes whose sets meet in a list, the sets of the one with the larger key visit the other.
+    placed = open_posts.join(homes, "cid").select("key", "cid", "home")
+    hosts = placed.select("key", F.col("home").alias("host")).distinct()
+    visits = placed.join(hosts, "key").where("host < home").select("cid", F.col("host").alias("home")).distinct()
+
+    wanted = classes.join(homes, "cid", "left_semi").select("cid", F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "keys")
     texts = docs.select("doc_id", "text").mapInArrow(_per_row(_packed, {"doc_id": pa.int64(), "text_key": pa.binary(), "z": pa.binary()}), "doc_id long, text_key binary, z binary")
-    found = texts.join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", "z")
-    sets = written(found.mapInArrow(_per_row(_sets, {"cid": pa.int64(), "shingles": pa.list_(pa.int64())}), "cid long, shingles array<long>"), "sets")
-    signed = written(classes.join(able, "cid", "left_semi").select("cid", "keys"), "signed")
-    n_posts = posts.count()
-
-    def met(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose whole signatures agree often enough, and in how many places."""
-        a, b = (signed.select(F.col("cid").alias(c), F.col("keys").alias(k)) for c, k in (("u", "ku"), ("v", "kv")))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("ku", "kv")).alias("matches")).where(F.col("matches") >= MATCHES)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "su"), ("v", "sv")))
-        both = F.size(F.array_intersect("su", "sv"))
-        whole = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv") - both).alias("union"))
-        return whole.where(F.col("both") * 100 >= F.col("union") * SIMILARITY).select("u", "v")
-
-    edges = member = None
-    for turn in range(MAX_ROUNDS):
-        if member is None:
-            placed = posts.withColumn("comp", F.col("cid"))
-        else:
-            placed = posts.join(member.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        by_key = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("comps > 1")
-        leaders = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp")).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        if turn:
-            left = by_key.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0)).alias("n")).first()["n"]
-            if not left:
-                break
-            if left <= LEFT_PER_POSTING * n_posts or turn == MAX_ROUNDS - 1:
-                open_posts = placed.join(by_key.select("key"), "key", "left_semi")
-                a, b = (open_posts.select("key", F.col("cid").alias(c), F.col("comp").alias(p)) for c, p in (("u", "pu"), ("v", "pv")))
-                rest = a.join(b, "key").where("pu < pv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-                edges = written(edges.unionByName(confirmed(met(rest))), "links")
-                member = written(components(edges), "members")
-                break
-        led = placed.join(leaders.select("key", "lead"), "key").where(F.col("comp") != F.col("lead.comp"))
-        pairs = met(led.select(F.col("cid").alias("u"), F.col("lead.cid").alias("v")).distinct())
-        # One partner for each class and round: the leader that it agrees with most.
-        best = pairs.groupBy("u").agg(F.max(F.struct("matches", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
-        new = confirmed(best)
-        edges = written(new if edges is None else edges.unionByName(new), "links")
-        member = written(components(edges), "members")
-    return member
+    found = texts.join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", "keys", "z")
+    types = {"cid": pa.int64(), "keys": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
+    sets = written(found.mapInArrow(_per_row(_sets, types), "cid long, keys array<long>, shingles array<long>"), "sets")
+
+    stays = homes.select("cid", "home", F.lit(True).alias("at_home")).unionByName(visits.select("cid", "home", F.lit(False).alias("at_home")))
+    stays = stays.join(classes.select("cid", "n_shingles"), "cid")
+    blocks = stays.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.col("block")
+    dealt = stays.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("home", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (own > F.col("other")).alias("side"), "cid", "at_home")
+    cells = dealt.join(sets, "cid").groupBy("home", "i", "j").applyInArrow(_cell, "u long, v long")
+    return written(cells, "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,10 +200,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     types = {"doc_id": pa.int64(), "text_key": pa.binary(), "n_shingles": pa.int64(), "set_key": pa.binary(), "keys": pa.list_(pa.int64())}
     rows = written(docs.select("doc_id", "text").mapInArrow(_per_row(_signed, types), "doc_id long, text_key binary, n_shingles long, set_key binary, keys array<long>"), "rows")
-    made = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"))
+    made = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
     # Ids are given once, in the written table, and are the same for all that reads it.
-    classes = written(made.select(F.monotonically_increasing_id().alias("cid"), "set_key", "least.doc_id", "least.text_key", "keys"), "classes")
-    member = links(docs, classes)
+    classes = written(made.select(F.monotonically_increasing_id().alias("cid"), "set_key", "least.doc_id", "least.text_key", "n_shingles", "keys"), "classes")
+    member = components(links(docs, classes))
     in_comp = classes.select("cid", "set_key", "doc_id", "text_key").join(member.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = in_comp.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
     named = in_comp.join(least, "component").select("set_key", F.col("least.doc_id").alias("cdoc"), F.col("least.text_key").alias("ckey"))
