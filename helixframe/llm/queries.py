@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontamination, html_text, language, near_dedup, packing, pii, substring_dedup, token_counts, warc
+from helixframe.llm import decontamination, html_text, language, near_dedup, neighbours, packing, pii, substring_dedup, token_counts, warc
 from helixframe.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "helixframe")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,11 +62,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return substring_dedup.remove_repeats(docs, substring_dedup.indexed(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.remove_repeats(docs, substring_dedup.indexed(docs), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_packing, op3_decontamination, op4_minhash, op5_pii, op7_warc, op8_token_counts, op9_language, op10_substring)}
+    return {f.__name__: f for f in (op1_html, op2_packing, op3_decontamination, op4_minhash, op5_pii, op6_neighbours, op7_warc, op8_token_counts, op9_language, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
