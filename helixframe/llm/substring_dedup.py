@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.llm._common import bounded_batches, dropped, scratch_path
-from helixframe.llm.near_dedup import WordHashes, mixed
+from helixframe.llm.near_dedup import mixed, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: Fingerprints with more occurrences than this are verified by aggregates and joins, not within one task.
@@ -38,7 +38,6 @@ class Hasher:
     """Hashes of the grams and windows of a text, by prefix sums over powers of an odd base."""
 
     def __init__(self) -> None:
-        self.memo = WordHashes()
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -51,21 +50,26 @@ class Hasher:
     def runs_of(self, sums: np.ndarray, length: int) -> np.ndarray:
         return mixed((sums[length:] - sums[:-length]) * self.down[: len(sums) - length])
 
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        self._powers(len(words) + 1)
+        return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word_hashes(words) * self.up[: len(words)])))
+
+    def windows(self, words: list[bytes]) -> np.ndarray:
+        return self.runs_of(self.sums(words), WINDOW) if len(words) >= WINDOW else np.zeros(0, dtype=np.uint64)
+
     def selected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(gram hashes, window hashes, position of each run's selected gram, first window of each run); None without a window.
+        """(prefix sums, gram hashes, position of each run's selected gram, first window of each run); None without a window.
 
         A run is a stretch of windows that select the same gram.
         """
-        n = len(words)
-        if n < WINDOW:
+        if len(words) < WINDOW:
             return None
-        self._powers(n + 1)
-        w = np.array([self.memo[x] for x in words], dtype=np.uint64)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(w * self.up[:n])))
-        grams, windows = self.runs_of(sums, GRAM), self.runs_of(sums, WINDOW)
-        at = np.arange(len(windows)) + sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1)
+        sums = self.sums(words)
+        grams = self.runs_of(sums, GRAM)
+        n = len(words) - WINDOW + 1
+        at = np.arange(n) + sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        return grams, windows, at[first], first
+        return sums, grams, at[first], first
 
 
 def _mapped(make: Callable[[Hasher, tuple], list[tuple]], types: dict[str, pa.DataType]) -> Callable:
@@ -84,22 +88,24 @@ def _text_key(raw: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, key, pos) of every selected gram."""
+    """(fp, key, pos, doc_id) of every selected gram."""
     hasher = Hasher()
     for b in batches:
-        fps, keys, pos = [], [], []
-        for text in b.column(0).to_pylist():
+        fps, keys, pos, size = [np.zeros(0, dtype=np.int64)], [], [np.zeros(0, dtype=np.int32)], []
+        for text in b.column(1).to_pylist():
             raw = (text or "").encode()
-            if (found := hasher.selected(raw.split())) is not None:
-                fps.append(found[0][found[2]].view(np.int64))
-                keys.append(np.full(len(found[2]), _text_key(raw)))
+            found = hasher.selected(raw.split())
+            size.append(0 if found is None else len(found[2]))
+            keys.append(_text_key(raw))
+            if found is not None:
+                fps.append(found[1][found[2]].view(np.int64))
                 pos.append(found[2].astype(np.int32))
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(fps, np.int64)), pa.array(cat(keys, np.int64)), pa.array(cat(pos, np.int32))], names=["fp", "key", "pos"])
+        row = np.repeat(np.arange(b.num_rows), size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.array(keys, dtype=np.int64)[row]), pa.array(np.concatenate(pos)), b.column(0).take(pa.array(row))], names=["fp", "key", "pos", "doc_id"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInArrow(_fingerprints, "fp long, key long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "fp long, key long, pos int, doc_id long")
 
 
 class Index:
@@ -143,16 +149,22 @@ def _zipped(hasher: Hasher, row: tuple) -> list[tuple]:
 
 
 def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
-    """(fp, n, key, first, windows) of the runs of a text whose selected gram is among the candidates."""
-    _, key, z, places = row
-    found = hasher.selected(zstandard.decompress(z).split())
+    """(fp, n, key, first, copies, windows) of the runs of a text whose selected gram is among the candidates.
+
+    Of the rows with one text only the one of the least id gives them, for all.
+    """
+    doc_id, key, z, spokesman, places = row
+    if spokesman is not None and doc_id != spokesman:
+        return []
+    words = zstandard.decompress(z).split()
+    found = hasher.selected(words)
     if found is None:
         return []
-    grams, windows, at, first = found
-    often = {p["pos"]: p["n"] for p in places}
+    sums, grams, at, first = found
+    windows = hasher.runs_of(sums, WINDOW).view(np.int64)
     ends = np.append(first[1:], len(windows))
-    signed = windows.view(np.int64)
-    return [(int(grams[p].view(np.int64)), often[p], key, int(a), signed[a:e]) for p, a, e in zip(at.tolist(), first.tolist(), ends.tolist(), strict=True) if p in often]
+    often = {p["pos"]: (p["n"], p["copies"]) for p in places}
+    return [(int(grams[p].view(np.int64)), often[p][0], key, int(a), often[p][1], windows[a:e]) for p, a, e in zip(at.tolist(), first.tolist(), ends.tolist(), strict=True) if p in often]
 
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +174,13 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = rows.column("windows").combine_chunks()
         values, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         starts = starts - starts[0]
-        _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-        inside = np.arange(len(values)) - np.repeat(starts[:-1], np.diff(starts))
-        bits = np.where(counts[inverse] > 1, np.int64(1) << inside, 0)
-        mask = np.bitwise_or.reduceat(bits, starts[:-1]) if len(values) else bits
+        lengths = np.diff(starts)
+        _, inverse = np.unique(values, return_inverse=True)
+        counts = np.bincount(inverse, weights=np.repeat(rows.column("copies").to_numpy(), lengths))
+        inside = np.arange(len(values)) - np.repeat(starts[:-1], lengths)
+        mask = np.bitwise_or.reduceat(np.where(counts[inverse] > 1, np.int64(1) << inside, 0), starts[:-1])
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks().take(hit), rows.column("first").combine_chunks().take(hit), pa.array(mask[hit]), pa.array(values[starts[:-1]][hit] if len(values) else values)], names=["key", "first", "mask", "head"])
+        return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks().take(hit), rows.column("first").combine_chunks().take(hit), pa.array(mask[hit]), pa.array(values[starts[:-1]][hit])], names=["key", "first", "mask", "head"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -189,21 +202,20 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _heavy(runs: DataFrame) -> DataFrame:
     """As _light, for any number of runs to a fingerprint: equal runs are counted before their windows are."""
-    classes = runs.groupBy("windows").agg(F.count(F.lit(1)).alias("n"))
-    each = classes.select("windows", "n", F.posexplode("windows").alias("j", "w"))
-    often = each.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
+    classes = runs.groupBy("windows").agg(F.sum("copies").alias("copies"))
+    each = classes.select("windows", "copies", F.posexplode("windows").alias("j", "w"))
+    often = each.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
     masks = each.join(often, "w").groupBy("windows").agg(F.sum(bit).alias("mask"))
     return runs.join(masks, "windows").select("key", "first", "mask", F.col("windows")[0].alias("head"))
 
 
 def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
-    doc_id, z, flags = row
+    doc_id, z, with_text, flags = row
     words = zstandard.decompress(z).split()
     removed = 0
     if flags:
-        _, windows, _, _ = hasher.selected(words) or (None, np.zeros(0, dtype=np.uint64), None, None)
-        signed, delta = windows.view(np.int64), np.zeros(len(words) + 1, dtype=np.int32)
+        signed, delta = hasher.windows(words).view(np.int64), np.zeros(len(words) + 1, dtype=np.int32)
         for f in flags:
             a, mask = f["first"], f["mask"]
             if a < len(signed) and signed[a] == f["head"]:  # else they belong to another text of the same key
@@ -217,11 +229,11 @@ def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
         if removed:
             words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
     kept = b" ".join(words)
-    return [(doc_id, len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode())]
+    return [(doc_id, len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)]
 
 
-def remove_repeats(docs: DataFrame, index: Index) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (kept words, one space between).
+def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (kept words, one space between; null unless ``with_text``).
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged. A word goes if a window of 35
     consecutive words over it starts anywhere else as well, in this or any other row; windows are those of the input.
@@ -233,19 +245,28 @@ def remove_repeats(docs: DataFrame, index: Index) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     found = fingerprints(docs).join(index.repeated(), "fp")
-    places = found.groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
+    # The rows of one text are counted here, and one of them speaks for all.
+    at = found.groupBy("key", "pos", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    places = at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places"))
     z_types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
     texts = docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, z_types), "doc_id long, key long, z binary")
-    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "first": pa.int32(), "windows": pa.list_(pa.int64())}
+    # Never null, but an inner join would say so below its shuffle, and the last join not.
+    texts = texts.where("key is not null")
+    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "first": pa.int32(), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
     # The same columns as in the last join, so that both read one shuffle of the texts.
-    joined = texts.join(places, "key").select("doc_id", "key", "z", "places")
-    runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, first int, windows array<long>")
-    light = runs.where(F.col("n") <= HEAVY).select("fp", "key", "first", "windows").repartition("fp").sortWithinPartitions("fp")
+    joined = texts.join(places, "key").select("doc_id", "key", "z", "spokesman", "places")
+    runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, first int, copies long, windows array<long>")
+    # One shuffle for both ways: by fingerprint, but heavy ones are spread.
+    heavy_one = F.col("n") > HEAVY
+    runs = runs.withColumn("heavy", heavy_one).repartition(F.when(heavy_one, F.xxhash64("key", "first")).otherwise(F.col("fp")))
+    # What depends on the partition isn't moved below the shuffle, which both ways can then share.
+    here = F.spark_partition_id() >= 0
+    light = runs.where(~F.col("heavy") & here).select("fp", "key", "first", "copies", "windows").sortWithinPartitions("fp")
     light = light.mapInArrow(_light, "key long, first int, mask long, head long")
-    heavy = _heavy(runs.where(F.col("n") > HEAVY).select("key", "first", "windows"))
+    heavy = _heavy(runs.where(F.col("heavy") & here).select("key", "first", "copies", "windows"))
     flags = light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("first", "mask", "head")).alias("flags"))
     o_types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    return texts.join(flags, "key", "left").select("doc_id", "z", "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return texts.join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def indexed(docs: DataFrame, batches: int = 2) -> Index:
