@@ -1,13 +1,61 @@
-"""The corpus pipeline: stages over documents, each calling one operator of the training-data subpackage."""
+"""The corpus pipeline: from documents to training sequences, each stage calling one operator of the subpackage.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
+stages the rows are written and read again, so that no stage is computed twice and a lost executor costs little.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from helixframe.llm import decontamination, language, near_dedup, packing, pii
+from helixframe.llm._common import table, written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those without a letter go. The model is fitted on the labelled part."""
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model, columns=tuple(docs.columns))
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.without_near_duplicates(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and the number of characters as it is then."""
+    columns = docs.columns
+    changed = pii.pseudonymised(docs, "helixframe")
+    return changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences, with their token ids."""
+    pieces = packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+
 
-STAGES: list = []
-#: SQL can't express the stages' models and tokenizers; tests hold them against brute-force versions.
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", unique),
+    ("decontamination", uncontaminated),
+    ("personal_data", pseudonymous),
+    ("packing", sequences),
+]
+#: SQL expresses neither the language model nor the tokenizer; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from helixframe.llm._common import bounded_batches
 
@@ -39,7 +40,8 @@ TRAIN_ROWS = 3000
 SWITCH, WORST = 14.0, 10.0
 MEMO_WORDS = 400_000
 UNDETERMINED = "und"
-SCHEMA = "doc_id long, lang_pred string, score double, n_words long, spans array<struct<start:int,length:int,lang:string>>"
+SPAN = StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("lang", StringType())])
+FOUND = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN))]
 
 
 def script_of(word: str) -> str:
@@ -164,13 +166,13 @@ def spans(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, in
     return out
 
 
-def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score, n_words and spans (over the words of letters) of each row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, model: Model, *, columns: tuple[str, ...] = ("doc_id",), switch: float = SWITCH) -> DataFrame:
+    """``columns``, lang_pred, score, n_words and spans (over the words of letters) of each row of ``docs`` (columns, text).
 
     lang_pred is the language with most letters among the spans, ties to the first in alphabetical order; score is its
     share of the letters times its probability on its own words. A null text, one without a letter, or a model without
-    languages gives ``und``, score 0 and no spans. A null doc_id stays null; repeated rows are labelled once each; no
-    row gives no rows. Other columns are ignored.
+    languages gives ``und``, score 0 and no spans. Nulls in ``columns`` stay; repeated rows are labelled once each; no
+    row gives no rows. Other columns are ignored, but ``columns`` can't have the names of the results.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -193,10 +195,10 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH) -> DataFr
 
         memo = Memo()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], []]
+            for text in b.column(len(columns)).to_pylist():
                 words = WORD.findall(text.lower()) if text and k and any(map(str.isalpha, text)) else []
-                row = (doc, UNDETERMINED, 0.0, len(words), [])
+                row = (UNDETERMINED, 0.0, len(words), [])
                 if words:
                     if len(memo) > MEMO_WORDS:
                         memo.clear()
@@ -215,13 +217,15 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH) -> DataFr
                             own_words[a : a + n] = lang == top
                         share, own = letters[top] / letters.sum(), s[own_words].sum(axis=0)
                     p = np.exp(own - own.max())
-                    row = (doc, names[top], float(share * p[top] / p.sum()), len(words), [{"start": a, "length": n, "lang": names[lang]} for a, n, lang in found])
+                    row = (names[top], float(share * p[top] / p.sum()), len(words), [{"start": a, "length": n, "lang": names[lang]} for a, n, lang in found])
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
             span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64(), pa.int64(), span), strict=True)], names=["doc_id", "lang_pred", "score", "n_words", "spans"])
+            found = [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.float64(), pa.int64(), span), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *found], names=[*columns, "lang_pred", "score", "n_words", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    kept = docs.select(*columns)
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, StructType(kept.schema.fields + FOUND))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.llm._common import bounded_batches, written
 from helixframe.llm.components import components
@@ -218,3 +218,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (own | (F.col("doc_id").eqNullSafe(F.col("cdoc")) & F.col("text_key").eqNullSafe(F.col("ckey")))).alias("keeper"),
         "text_key",
     )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each component of near duplicates in ``docs``, with all its columns: the one of least doc_id.
+
+    Rows without a word are no duplicates and stay; of rows that agree in doc_id and text one stays.
+    """
+
+    def row_key(doc_id: Column, text_key: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text_key, F.lit("-"))))
+
+    keep = near_duplicates(docs).where("keeper").select(row_key(F.col("doc_id"), F.lower(F.hex("text_key"))).alias("__row"))
+    # One shuffle on the row's key serves both steps.
+    return docs.withColumn("__row", row_key(F.col("doc_id"), F.md5("text"))).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
