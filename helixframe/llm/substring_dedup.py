@@ -21,7 +21,7 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm._common import bounded_batches, dropped, scratch_path
+from helixframe.llm._common import bounded_batches, dropped, scratch_path, written
 from helixframe.llm.near_dedup import mixed, word_hashes
 
 WINDOW, GRAM = 35, 8
@@ -31,6 +31,7 @@ HEAVY = 1500
 FANOUT = 4
 
 _BASE = 0x9E3779B97F4A7C15
+_BITS = np.arange(WINDOW - GRAM + 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -149,9 +150,9 @@ def _zipped(hasher: Hasher, row: tuple) -> list[tuple]:
 
 
 def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
-    """(fp, n, key, first, copies, windows) of the runs of a text whose selected gram is among the candidates.
+    """(fp, n, key, firsts, copies, windows) of the runs of a text whose selected gram is among the candidates.
 
-    Of the rows with one text only the one of the least id gives them, for all.
+    Of the rows with one text only the one of the least id gives them, for all; of equal runs in a text, the first.
     """
     doc_id, key, z, spokesman, places = row
     if spokesman is not None and doc_id != spokesman:
@@ -164,34 +165,56 @@ def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
     windows = hasher.runs_of(sums, WINDOW).view(np.int64)
     ends = np.append(first[1:], len(windows))
     often = {p["pos"]: (p["n"], p["copies"]) for p in places}
-    return [(int(grams[p].view(np.int64)), often[p][0], key, int(a), often[p][1], windows[a:e]) for p, a, e in zip(at.tolist(), first.tolist(), ends.tolist(), strict=True) if p in often]
+    runs: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
+    for p, a, e in zip(at.tolist(), first.tolist(), ends.tolist(), strict=True):
+        if p in often:
+            n, copies = often[p]
+            runs.setdefault((int(grams[p].view(np.int64)), windows[a:e].tobytes()), (n, copies, []))[2].append(a)
+    return [(fp, n, key, firsts, copies * len(firsts), np.frombuffer(raw, dtype=np.int64)) for (fp, raw), (n, copies, firsts) in runs.items()]
 
 
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, first, mask, head) of runs with a repeated window; rows come sorted by fingerprint, and all of one are here."""
+JUDGED = {"fp": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64()), "mask": pa.int64(), "head": pa.int64()}
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with a repeated window and the mask of those windows; runs of heavy fingerprints as they are, without one.
+
+    Rows come sorted by fingerprint, and all of a light one are here.
+    """
+
+    def given(rows: pa.Table, hit: np.ndarray, mask: np.ndarray | None, head: np.ndarray | None) -> pa.RecordBatch:
+        at = pa.array(hit)
+        none = pa.nulls(len(hit), pa.int64())
+        cols = [rows[c].combine_chunks().take(at) for c in ("fp", "key", "firsts", "copies")]
+        windows = rows["windows"].combine_chunks().take(at) if mask is None else pa.nulls(len(hit), JUDGED["windows"])
+        return pa.RecordBatch.from_arrays([*cols, windows, none if mask is None else pa.array(mask), none if head is None else pa.array(head)], schema=pa.schema(JUDGED))
 
     def judged(rows: pa.Table) -> pa.RecordBatch:
-        lists = rows.column("windows").combine_chunks()
+        lists = rows["windows"].combine_chunks()
         values, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         starts = starts - starts[0]
         lengths = np.diff(starts)
         _, inverse = np.unique(values, return_inverse=True)
-        counts = np.bincount(inverse, weights=np.repeat(rows.column("copies").to_numpy(), lengths))
+        counts = np.bincount(inverse, weights=np.repeat(rows["copies"].to_numpy(), lengths))
         inside = np.arange(len(values)) - np.repeat(starts[:-1], lengths)
         mask = np.bitwise_or.reduceat(np.where(counts[inverse] > 1, np.int64(1) << inside, 0), starts[:-1])
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks().take(hit), rows.column("first").combine_chunks().take(hit), pa.array(mask[hit]), pa.array(values[starts[:-1]][hit])], names=["key", "first", "mask", "head"])
+        return given(rows, hit, mask[hit], values[starts[:-1]][hit])
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
+        heavy = b["n"].to_numpy() > HEAVY
+        if heavy.any():
+            yield given(pa.Table.from_batches([b]), np.flatnonzero(heavy), None, None)
+            b = b.filter(pa.array(~heavy))
         if not b.num_rows:
             continue
         held.append(b)
         size += b.num_rows
         if size >= 20_000:
             rows = pa.Table.from_batches(held)
-            fps = rows.column("fp").to_numpy()
+            fps = rows["fp"].to_numpy()
             cut = int(np.searchsorted(fps, fps[-1]))  # the last fingerprint may go on
             if cut:
                 yield judged(rows.slice(0, cut))
@@ -201,13 +224,13 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy(runs: DataFrame) -> DataFrame:
-    """As _light, for any number of runs to a fingerprint: equal runs are counted before their windows are."""
-    classes = runs.groupBy("windows").agg(F.sum("copies").alias("copies"))
-    each = classes.select("windows", "copies", F.posexplode("windows").alias("j", "w"))
+    """Masks as of _judged(), for any number of runs to a fingerprint: equal runs are counted before their windows are."""
+    classes = runs.groupBy("fp", "windows").agg(F.sum("copies").alias("copies"))
+    each = classes.select("fp", "windows", "copies", F.posexplode("windows").alias("j", "w"))
     often = each.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
-    masks = each.join(often, "w").groupBy("windows").agg(F.sum(bit).alias("mask"))
-    return runs.join(masks, "windows").select("key", "first", "mask", F.col("windows")[0].alias("head"))
+    masks = each.join(often, "w").groupBy("fp", "windows").agg(F.sum(bit).alias("mask"))
+    return runs.join(masks, ["fp", "windows"]).select("key", "firsts", "mask", F.col("windows")[0].alias("head"))
 
 
 def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
@@ -215,15 +238,16 @@ def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
     words = zstandard.decompress(z).split()
     removed = 0
     if flags:
-        signed, delta = hasher.windows(words).view(np.int64), np.zeros(len(words) + 1, dtype=np.int32)
-        for f in flags:
-            a, mask = f["first"], f["mask"]
-            if a < len(signed) and signed[a] == f["head"]:  # else they belong to another text of the same key
-                while mask:
-                    i = a + (mask & -mask).bit_length() - 1
-                    delta[i] += 1
-                    delta[i + WINDOW] -= 1
-                    mask &= mask - 1
+        signed = hasher.windows(words).view(np.int64)
+        firsts = np.array([a for f in flags for a in f["firsts"]], dtype=np.int64)
+        mask, head = (np.repeat(np.array([f[c] for f in flags], dtype=np.int64), [len(f["firsts"]) for f in flags]) for c in ("mask", "head"))
+        # Those that don't agree belong to another text of the same key.
+        real = firsts < len(signed)
+        real[real] = signed[firsts[real]] == head[real]
+        starts = (firsts[real][:, None] + _BITS)[(mask[real][:, None] >> _BITS) & 1 == 1]
+        delta = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(delta, starts, 1)
+        np.add.at(delta, starts + WINDOW, -1)
         keep = delta.cumsum()[:-1] == 0
         removed = len(words) - int(keep.sum())
         if removed:
@@ -250,21 +274,15 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     places = at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places"))
     z_types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
     texts = docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, z_types), "doc_id long, key long, z binary")
-    # Never null, but an inner join would say so below its shuffle, and the last join not.
-    texts = texts.where("key is not null")
-    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "first": pa.int32(), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
-    # The same columns as in the last join, so that both read one shuffle of the texts.
+    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
     joined = texts.join(places, "key").select("doc_id", "key", "z", "spokesman", "places")
-    runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, first int, copies long, windows array<long>")
-    # One shuffle for both ways: by fingerprint, but heavy ones are spread.
-    heavy_one = F.col("n") > HEAVY
-    runs = runs.withColumn("heavy", heavy_one).repartition(F.when(heavy_one, F.xxhash64("key", "first")).otherwise(F.col("fp")))
-    # What depends on the partition isn't moved below the shuffle, which both ways can then share.
-    here = F.spark_partition_id() >= 0
-    light = runs.where(~F.col("heavy") & here).select("fp", "key", "first", "copies", "windows").sortWithinPartitions("fp")
-    light = light.mapInArrow(_light, "key long, first int, mask long, head long")
-    heavy = _heavy(runs.where(F.col("heavy") & here).select("key", "first", "copies", "windows"))
-    flags = light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("first", "mask", "head")).alias("flags"))
+    runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, firsts array<int>, copies long, windows array<long>")
+    # By fingerprint, but heavy ones are spread; these go another way after this.
+    runs = runs.repartition(F.when(F.col("n") > HEAVY, F.xxhash64("key", F.col("firsts")[0])).otherwise(F.col("fp"))).sortWithinPartitions("fp")
+    judged = written(runs.mapInArrow(_judged, "fp long, key long, firsts array<int>, copies long, windows array<long>, mask long, head long"), "judged")
+    light = judged.where("mask is not null").select("key", "firsts", "mask", "head")
+    heavy = _heavy(judged.where("mask is null").select("fp", "key", "firsts", "copies", "windows"))
+    flags = light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("firsts", "mask", "head")).alias("flags"))
     o_types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
     return texts.join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
