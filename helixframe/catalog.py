@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from helixframe.plans import oracles, queries as _queries
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, _queries.Query]:
+    return _queries.queries()
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql()
