@@ -61,6 +61,6 @@ def from_linear(points: DataFrame, genome: DataFrame, linear: str = "linear") ->
     The sequences' starts become one ordered array, in which every point finds its own without a join per sequence.
     """
     ends = genome.agg(F.array_sort(F.collect_list(F.struct("start", "size", "chrom"))).alias("__g"))
-    at = F.filter("__g", lambda g: (g["start"] <= F.col(linear)) & (F.col(linear) < g["start"] + g["size"]))[0]
+    at = F.get(F.filter("__g", lambda g: (g["start"] <= F.col(linear)) & (F.col(linear) < g["start"] + g["size"])), F.lit(0))
     found = points.crossJoin(F.broadcast(ends)).withColumn("__at", at)
     return found.where("__at is not null").withColumns({"chr": F.col("__at.chrom"), "pos": F.col(linear) - F.col("__at.start")}).drop("__g", "__at")

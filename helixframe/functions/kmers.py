@@ -84,7 +84,10 @@ def with_hash32(df: DataFrame, source: str, out: str, seed: int) -> DataFrame:
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
         now = step(now, h.bitwiseXOR(F.shiftright(h, shift)))
         now = step(now, _times32(h, factor))
-    return now.withColumn(out, h.bitwiseXOR(F.shiftright(h, 16))).drop("__h", "__w")
+    # A zero that formally depends on the partition: else a filter on the hash would be moved below all these steps,
+    # with each step written into the next one as often as that reads it.
+    zero = F.spark_partition_id().cast("long").bitwiseAND(F.lit(0).cast("long"))
+    return now.withColumn(out, h.bitwiseXOR(F.shiftright(h, 16)).bitwiseOR(zero)).drop("__h", "__w")
 
 
 #: Multiplier, left and right rotation of each round of the multiply-rotate hash (fixed values).

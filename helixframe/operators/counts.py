@@ -113,9 +113,10 @@ def annotated(counts: DataFrame, scores: DataFrame, bases: DataFrame, cutoff: fl
     c = counts.withColumnsRenamed({"chr": "__c1", "pos": "__p1"}).withColumn("__k", chr_key(F.col("__c1")))
     s = scores.select(F.col("chr").alias("__c2"), F.col("pos").alias("__p2"), "kld", "pval").withColumn("__k2", chr_key(F.col("__c2")))
     met = c.join(s, (F.col("__k") == F.col("__k2")) & (F.col("__p1") == F.col("__p2")), "full")
-    differs = F.raise_error(F.lit("counts and scores are not of the same loci")).cast("string")
-    met = met.withColumn("chr", F.when(F.col("__c1").isNull() | F.col("__c2").isNull(), differs).otherwise(F.col("__c1"))).withColumn("pos", F.coalesce("__p1", "__p2"))
-    met = met.where(F.col("pval") <= cutoff).join(bases.select("chr", "pos", F.upper("ref").alias("ref")), ["chr", "pos"], "left")
+    # The check is the filter, for a filter on pval alone would drop the rows that it is about.
+    differs = F.raise_error(F.lit("counts and scores are not of the same loci")).cast("boolean")
+    met = met.where(F.when(F.col("__c1").isNull() | F.col("__c2").isNull(), differs).otherwise(F.col("pval") <= cutoff))
+    met = met.withColumn("chr", F.col("__c1")).withColumn("pos", F.col("__p1")).join(bases.select("chr", "pos", F.upper("ref").alias("ref")), ["chr", "pos"], "left")
     letters = "ACGT"
     cov = sum((F.col(x) for x in CATEGORIES), F.lit(0).cast("long"))
     own = sum((F.when(F.col("ref") == x, F.col(f"n{x}")).otherwise(0) for x in letters), F.lit(0).cast("long"))

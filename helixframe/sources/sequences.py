@@ -262,6 +262,6 @@ def ranges_of(location: Column) -> Column:
 
 def feature_table(records: DataFrame) -> DataFrame:
     """(accession, type, first, last, strand, qualifiers): a row to each range of each feature."""
-    acc: Column = F.filter("entries", lambda e: e["name"] == "ACCESSION")[0]["value"]
+    acc: Column = F.get(F.filter("entries", lambda e: e["name"] == "ACCESSION"), F.lit(0))["value"]
     each = records.select(F.substring_index(acc, " ", 1).alias("accession"), F.explode("features").alias("f"))
     return each.select("accession", "f.type", F.explode(ranges_of(F.col("f.location"))).alias("r"), "f.qualifiers").select("accession", "type", "r.first", "r.last", "r.strand", "qualifiers")

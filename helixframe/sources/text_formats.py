@@ -67,7 +67,7 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attribute(attributes: Column, key: str) -> Column:
-    return F.filter(attributes, lambda x: x["key"] == key)[0]["value"]
+    return F.get(F.filter(attributes, lambda x: x["key"] == key), F.lit(0))["value"]
 
 
 def gff3_features(gff: DataFrame) -> DataFrame:
@@ -125,9 +125,9 @@ def vcf_meta(lines: DataFrame) -> DataFrame:
 def write_vcf(records: DataFrame, path: str, samples: list[str] = (), meta: list[str] = ()) -> None:
     """Write records (as read_vcf() gives them, in their order) as one file with its header."""
     sample_text = lambda g: F.array_join(F.transform(g, lambda x: x["value"]), ":")
-    columns = [F.col("chr"), F.col("pos").cast("string"), F.col("id"), F.col("ref"), F.col("alt"), F.coalesce(F.format_string("%s", "qual"), F.lit(".")) if dict(records.dtypes)["qual"] == "string" else F.coalesce(F.col("qual").cast("string"), F.lit(".")), F.col("filter"), pairs_text(F.col("info"))]
+    columns = [F.col("chr"), F.col("pos").cast("string"), F.col("id"), F.col("ref"), F.col("alt"), F.coalesce(F.col("qual").cast("string"), F.lit(".")), F.col("filter"), pairs_text(F.col("info"))]
     if samples:
-        form = F.array_join(F.transform(F.col("genotypes")[0], lambda x: x["key"]), ":")
+        form = F.array_join(F.transform(F.get("genotypes", F.lit(0)), lambda x: x["key"]), ":")
         columns += [form, F.array_join(F.transform("genotypes", sample_text), "\t")]
     heading = ["##fileformat=VCFv4.2", *(f"##{m}" for m in meta), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])])]
     spark = records.sparkSession
