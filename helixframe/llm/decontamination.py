@@ -100,8 +100,9 @@ def overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id") -> DataF
 
 def without_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text overlaps no item, with all their columns; null and empty texts stay."""
-    found = overlaps(docs.select("text", F.md5("text").alias("__text_key")), items, key="__text_key").select("__text_key").distinct()
-    return docs.withColumn("__text_key", F.md5("text")).join(found, "__text_key", "left_anti").drop("__text_key")
+    keyed = docs.select(F.md5("text").alias("key"), "text", F.struct(*docs.columns).alias("row"))
+    found = overlaps(keyed.select("key", "text"), items, key="key").select("key").distinct()
+    return keyed.select("key", "row").join(found, "key", "left_anti").select("row.*")
 
 
 #: The same by brute force: every alignment of every text and item that shares a token, counted window by window.

@@ -229,6 +229,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     def row_key(doc_id: Column, text_key: Column) -> Column:
         return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text_key, F.lit("-"))))
 
-    keep = near_duplicates(docs).where("keeper").select(row_key(F.col("doc_id"), F.lower(F.hex("text_key"))).alias("__row"))
-    # One shuffle on the row's key serves both steps.
-    return docs.withColumn("__row", row_key(F.col("doc_id"), F.md5("text"))).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    keep = near_duplicates(docs).where("keeper").select(row_key(F.col("doc_id"), F.lower(F.hex("text_key"))).alias("key"))
+    # Rows travel as one column each, so that no name of theirs meets another. One shuffle on the key serves both steps.
+    keyed = docs.select(row_key(F.col("doc_id"), F.md5("text")).alias("key"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

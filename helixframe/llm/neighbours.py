@@ -97,8 +97,9 @@ def fitted(sample: np.ndarray, lists: int) -> Lists:
     np.fill_diagonal(far, np.inf)
     degree = min(DEGREE, max(1, len(c) - 1))
     graph = np.argsort(far, axis=1, kind="stable")[:, :degree]
-    # A ring through all centroids keeps the graph in one piece; half of the links lead back to nearer ones.
+    # A ring through all centroids keeps the graph in one piece; where it repeats a neighbour it leads nowhere.
     ring = np.roll(np.arange(len(c)), -1)[:, None]
+    ring = np.where((graph == ring).any(axis=1, keepdims=True), len(c), ring)
     some = rng.choice(len(c), min(len(c), 16), replace=False)
     return Lists(c, np.concatenate((graph, ring), axis=1), some)
 
@@ -120,8 +121,8 @@ def _cell(key, posts: pa.Table, probes: pa.Table, k: int) -> pa.Table:
     out: list[list] = [[], [], []]
     if posts.num_rows and probes.num_rows:
         ids, p = posts["vec_id"].to_numpy(), _stacked(posts["v"].combine_chunks())
-        order = np.argsort(ids, kind="stable")
-        ids, p = ids[order], p[order]
+        ids, first = np.unique(ids, return_index=True)
+        p = p[first]
         for query, q in zip(probes["query_id"].to_pylist(), _stacked(probes["q"].combine_chunks()), strict=True):
             # A sum in one order for all, so that equal vectors have equal scores.
             score = np.einsum("pd,d->p", p, q, optimize=False)

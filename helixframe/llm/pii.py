@@ -169,7 +169,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     its surrogates can tell apart (for telephone numbers, some billions), this fails rather than let two coincide.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    keyed = docs.select(*columns, F.regexp_extract_all("text", _pattern(), F.lit(0)).alias("__found"))
+    # Rows travel as one column each, so that no name of theirs meets another.
+    keyed = docs.select("text", F.struct(*columns).alias("row")).withColumn("__found", F.regexp_extract_all("text", _pattern(), F.lit(0)))
     some = keyed.where(F.size("__found") > 0).withColumn("__key", F.md5("text"))
     texts = some.groupBy("__key").agg(F.first("text").alias("text"), F.first("__found").alias("found"))
     base = written(texts, "texts")
@@ -199,7 +200,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     lists = lists.where("n_entities > 0").select("__key", F.col("l.new").alias("new"), "n_entities")
     between = F.split(F.col("text"), _pattern(), -1)
     whole = F.array_join(F.flatten(F.zip_with(between, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = some.drop("__found").join(lists, "__key", "left")
-    changed = changed.withColumn("text", F.when(F.col("new").isNull(), F.col("text")).otherwise(whole)).withColumn("n_entities", F.coalesce("n_entities", F.lit(0).cast("long")))
-    clean = keyed.where(F.coalesce(F.size("__found"), F.lit(0)) <= 0).withColumn("n_entities", F.lit(0).cast("long"))
-    return clean.select(*columns, "n_entities").unionByName(changed.select(*columns, "n_entities"))
+    changed = some.select("__key", "text", "row").join(lists, "__key", "left")
+    changed = changed.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(whole).alias("text"), F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
+    clean = keyed.where(F.coalesce(F.size("__found"), F.lit(0)) <= 0).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
+    out = clean.unionByName(changed)
+    return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns), "n_entities")

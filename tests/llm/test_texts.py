@@ -1,0 +1,198 @@
+"""Packing, token counts, language, HTML, personal data: against plain versions, with the odd cases that each defines."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.llm import html_text, language, packing, pii, token_counts
+from helixframe.llm.queries import vocabulary
+
+ODD = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (None, "null id"), (5, "same"), (5, "same"), (6, "x" * 200_000), (7, "wörd " * 30_000), (8, "   a\u0085b \U0001f600"), (9, "<|endoftext|> 's 'll 123 !!")]
+DDL = "doc_id long, text string"
+
+
+def odd(spark):
+    """Odd rows, with columns that have the names of results."""
+    df = spark.createDataFrame(ODD, DDL)
+    for c in ("start", "length", "lang_pred", "score", "n_words", "spans", "n_entities", "key", "z", "item_id", "bucket", "pos", "keys", "u", "v"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def test_binary_cuts():
+    for n in range(0, 5000, 7):
+        cuts = packing.binary_cuts(n, 1024)
+        assert sum(x for _, x in cuts) == n and all(x & (x - 1) == 0 and x <= 1024 for _, x in cuts)
+        assert [s for s, _ in cuts] == list(np.cumsum([0, *(x for _, x in cuts)])[:-1]) and sum(x < 1024 for _, x in cuts) == bin(n % 1024).count("1")
+
+
+def test_pack_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary())
+    tok.encode_special_tokens = True
+    rows = packing.pack(odd(spark), vocabulary(), max_len=64).collect()
+    assert all(r.bucket == r.length == len(r.ids) and r.offset == 0 for r in rows) and len({r.sequence_id for r in rows}) == len(rows)
+    by = {}
+    for r in sorted(rows, key=lambda r: (str(r.doc_id), r.doc_tokens, r.start)):
+        by.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for doc, text in ODD:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+        pieces = by[doc, len(ids)]
+        for s, n in packing.binary_cuts(len(ids), 64):
+            same = [p for p in pieces if p.start == s]
+            assert len(same) == ODD.count((doc, text)) and all(list(p.ids) == ids[s : s + n] and p.ids_crc32 == zlib.crc32(np.asarray(ids[s : s + n], "<u4").tobytes()) for p in same)
+    assert packing.pack(empty(spark), vocabulary()).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(empty(spark), vocabulary(), max_len=100)
+
+
+def greedy(word, initial, inner):
+    at, n = 0, 0
+    while at < len(word):
+        pieces = inner if at else initial
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        if not size:
+            return -1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_automaton_against_greedy_matching():
+    rng = random.Random(2)
+    for _ in range(400):
+        pick = lambda: {bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 7))}
+        initial, inner = pick(), pick()
+        auto = token_counts.Automaton(initial, inner)
+        for _ in range(15):
+            word = bytes(rng.choices(b"abc", k=rng.randint(0, 10)))
+            assert auto.count(word) == greedy(word, initial, inner)
+
+
+def test_token_counts(spark):
+    auto = token_counts.byte_vocabulary(vocabulary())
+    got = sorted((tuple(r) for r in token_counts.count_tokens(odd(spark), vocabulary()).collect()), key=str)
+    want = sorted(((d, len(w := (t or "").encode().split()), sum(map(auto.count, w)), 0, len((t or "").encode())) for d, t in ODD), key=str)
+    assert got == want and token_counts.count_tokens(empty(spark), vocabulary()).count() == 0
+
+
+def best_path(s, cost):
+    value = [(x, [i]) for i, x in enumerate(s[0])]
+    for row in s[1:]:
+        value = [max(((v - cost * (p[-1] != j) + row[j], [*p, j]) for v, p in value), key=lambda x: x[0]) for j in range(len(row))]
+    return max(v for v, _ in value)
+
+
+def test_spans_are_a_best_path():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        s, cost = -rng.random((rng.integers(1, 30), rng.integers(1, 5))) * 4, rng.random() * 4
+        path = [k for _, n, k in language.spans(s, cost) for _ in range(n)]
+        got = sum(row[k] for row, k in zip(s, path, strict=True)) - cost * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert len(path) == len(s) and got == pytest.approx(best_path(s.tolist(), cost))
+
+
+WORDS = {"aa": "lorem ipsum dolor sit amet consectetur".split(), "bb": "kuzu yavru hiçbir şeyden öğren çoktan".split(), "cc": "привет мир как дела хорошо".split()}
+
+
+def test_language(spark):
+    rng = random.Random(6)
+    make = lambda k, n: " ".join(rng.choice(WORDS[k]) for _ in range(n))
+    train = [(i, make(k, 40), k) for i, k in enumerate(sorted(WORDS) * 30)]
+    model = language.fit(spark.createDataFrame([*train, (900, None, "aa"), (901, "x", None)], "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "bb", "cc"]
+    test = [(i, make(k, 12).upper(), k) for i, k in enumerate(sorted(WORDS) * 20)]
+    df = spark.createDataFrame(test, "doc_id long, text string, truth string")
+    got = language.identify(df, model, columns=("doc_id", "truth"))
+    assert got.where("truth <> lang_pred").count() == 0 and got.where("score < 0 or score > 1").count() == 0
+    mixed = spark.createDataFrame([(1, make("aa", 20) + " " + make("bb", 30) + " 12 " + make("cc", 10))], DDL)
+    row = language.identify(mixed, model).first()
+    assert [(s.start, s.length, s.lang) for s in row.spans] == [(0, 20, "aa"), (20, 30, "bb"), (50, 10, "cc")] and row.lang_pred == "bb" and 0 < row.score < 1
+    rows = {r.doc_id: r for r in language.identify(odd(spark), model).collect()}
+    assert len(rows) == 9 and all(rows[i].lang_pred == "und" and rows[i].score == 0 and rows[i].spans == [] for i in (1, 2, 3))
+    digits = spark.createDataFrame([(1, "12 ² ½ !")], DDL)
+    assert language.identify(digits, model).first().lang_pred == "und"
+    nothing = language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert language.identify(odd(spark), nothing).where("lang_pred <> 'und'").count() == 0 and language.identify(empty(spark), model).count() == 0
+
+
+def test_held_out(spark):
+    rows = spark.createDataFrame([(i,) for i in (None, *range(50))], "doc_id long").select("doc_id", language.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+PAGES = {
+    "<p>a<b>b<p>c": "ab\n\nc",
+    "<ul><li>one<li>two<ol start=3><li>x<li>y</ol><li>three</ul>after": "- one\n- two\n  3. x\n  4. y\n- three\n\nafter",
+    "<table><tr><th>Name<th>Qty<tr><td>apple<td>10<tr><td>fig and long<td>2</table>tail": "Name          Qty\napple         10\nfig and long  2\n\ntail",
+    "<table>foo<tr><td rowspan=2>A<td>b<tr><td>c</table>": "foo\n\nA  b\n   c",
+    "<table><tr><td colspan=2>wide<td>x<tr><td>a<td>b<td>c</table>": "wide  x\na  b  c",
+    "<div hidden>no</div><div style='display: none'>no</div><p style=visibility:hidden>no<span style=visibility:visible>yes</span></p>x<!-- c --><script>var a='<p>'</script>y": "yes\n\nxy",
+    "<pre>\n a\n  b\n</pre>z": " a\n  b\n\nz",
+    "a &amp; b&nbsp;c &lt;x&gt; 1 < 2": "a & b c <x> 1 < 2",
+    "<details><summary>s</summary>hid</details><details open><summary>t</summary>shown</details>": "s\nt\nshown",
+    "<dl><dt>t<dd>d1<dd>d2</dl><blockquote>q</blockquote>": "t\n  d1\n  d2\n\n  q",
+    "<title>t</title><body>hi<br>there<br><br>x": "hi\nthere\n\nx",
+    "<a href='x>y' title=it's>link</a><input type=submit value=Go><textarea>a &amp;\nb</textarea>": "linkGo\na &\nb",
+    "<ul><li><ul><li>nn</ul></ul>": "- - nn",
+    "<td>loose</td></p></b>ok": "loose\nok",
+    "x<": "x<", "<p": "", "<!--": "", "<>": "<>", "</>a": "a", "<script>x": "",
+}
+
+
+def test_html(spark):
+    for html, text in PAGES.items():
+        assert html_text.rendered(html_text.parsed(html)) == text, html
+    deep = "<div><ul><li><b>" * 5000 + "deep"
+    assert html_text.rendered(html_text.parsed(deep)).endswith("deep")
+    rows = [(1, None), (2, ""), (None, "<p>a"), (4, "<p>a"), (4, "<p>a"), (5, "<b>" * 100_000 + "x"), (6, "<p>" + "w " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("n_lines", F.lit(-1))
+    got = {(r.page_id, r.n_lines): r.text for r in html_text.extract(df).collect()}
+    assert got[1, 0] == got[2, 0] == "" and got[None, 1] == got[4, 1] == "a" and got[5, 1] == "x" and len(got[6, 1]) == 199_999
+    assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
+
+
+def luhn(number):
+    d = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark):
+    texts = {
+        1: "Mail Bob.1@Mail.example.com or BOB.1@MAIL.EXAMPLE.COM, call +1 (743) 555-3824 or +1 743-555-3824.",
+        2: "Card 4041894974608795 is 4041 8949 7460 8795, not 1234567890123456; hosts 10.1.2.3, 8.8.8.8, version 4.0.1, 999.1.1.1.",
+        3: "Mrs Anna Smith met Mr. John Smith. Smith and ANNA left. Господин Иванов знал Smith; Иванов ушел. Annabel stayed.",
+        4: "ssn 123-45-6789, mail bob.1@mail.example.com. Smith",
+    }
+    df = spark.createDataFrame([*texts.items(), (5, None), (6, ""), (7, "clean text 12-34"), (1, texts[1])], DDL).withColumn("n_entities", F.lit("clash")).withColumn("value", F.lit("v")).withColumn("kind", F.lit("k"))
+    out = pii.pseudonymised(df, "secret").collect()
+    assert len(out) == 8 and [r.text for r in out if r.doc_id in (5, 6, 7)].count("clean text 12-34") == 1 and {r.doc_id: r.n_entities for r in out if r.doc_id > 4} == {5: 0, 6: 0, 7: 0}
+    assert out[0].value == "v"
+    got = {r.doc_id: r.text for r in out}
+    assert len({r.text for r in out if r.doc_id == 1}) == 1
+    a, b, p, q = re.match(r"Mail (\S+) or (\S+), call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3}-\d{3}-\d{4})\.$", got[1]).groups()
+    assert a.upper() == b and a.endswith(".com") and a != "bob.1@mail.example.com" and re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "17435553824"
+    c, d, x, y = re.match(r"Card (\d{16}) is (\d{4} \d{4} \d{4} \d{4}), not 1234567890123456; hosts (10\.[\d.]+), ([\d.]+), version 4\.0\.1, 999\.1\.1\.1\.$", got[2]).groups()
+    assert c == d.replace(" ", "") != "4041894974608795" and c[0] == "4" and luhn(c) and x != "10.1.2.3" and y != "8.8.8.8" and all(0 < int(o) < 256 for o in y.split("."))
+    she, s1, he, s2, s3, loud, r1, s4, r2 = re.match(r"Mrs (\w+) (\w+) met Mr\. (\w+) (\w+)\. (\w+) and (\w+) left\. Господин (\w+) знал (\w+); (\w+) ушел\. Annabel stayed\.$", got[3]).groups()
+    assert s1 == s2 == s3 == s4 != "Smith" and she.upper() == loud and she.endswith("a") and he.endswith("n") and r1 == r2 != "Иванов" and re.fullmatch("[А-Яа-я]+", r1)
+    assert a.lower() in got[4] and "123-45-6789" not in got[4] and got[4].endswith(". Smith")
+    assert {r.doc_id: r.text for r in pii.pseudonymised(df, "secret").collect()} == got and {r.doc_id: r.text for r in pii.pseudonymised(df, "other").collect()}[1] != got[1]
+    assert pii.pseudonymised(df.limit(0), "k").count() == 0
+    assert pii.pseudonymised(odd(spark).withColumn("doc_id", F.lit(None).cast("long")), "k").count() == len(ODD)
+
+
+def test_surrogates_that_meet_are_drawn_again(spark):
+    # Nearly all private addresses of a small block are in use, so that draws often meet a real or a taken one.
+    real = [f"192.168.{i}.{j}" for i in range(1, 255) for j in (1, 2, 3)]
+    df = spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(real)], DDL)
+    got = [r.text.split()[1] for r in pii.pseudonymised(df, "k").collect()]
+    assert len(set(got)) == len(real) and not set(got) & set(real) and all(x.startswith("192.168.") for x in got)
