@@ -62,14 +62,17 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages: log-probabilities
     scripts: dict[str, np.ndarray]  # script: which languages use it
 
-    def word(self, word: str) -> np.ndarray:
-        """Log-score of a word for each language, 0 for the best."""
-        s = self.weights[grams(word)].sum(axis=0)
-        may = self.scripts.get(script_of(word))
-        if may is None:
-            return np.zeros(len(self.langs))
-        s = np.where(may, s, -np.inf)
-        return np.maximum(s - s.max(), -WORST)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-scores of words (rows) for each language, 0 for the best of a word."""
+        each = [grams(w) for w in words]
+        starts = np.cumsum([0, *map(len, each)])[:-1]
+        s = np.add.reduceat(self.weights[[g for gs in each for g in gs]], starts, axis=0)
+        every = np.ones(len(self.langs), dtype=bool)
+        own = [self.scripts.get(script_of(w)) for w in words]
+        s = np.where(np.array([every if m is None else m for m in own]), s, -np.inf)
+        # A word of a script that no language uses speaks for none.
+        s[[m is None for m in own]] = 0
+        return np.maximum(s - s.max(axis=1, keepdims=True), -WORST)
 
 
 def fit(docs: DataFrame, *, per_lang: int = TRAIN_ROWS) -> Model:
@@ -181,29 +184,22 @@ def identify(docs: DataFrame, model: Model, *, columns: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names, k = m.langs, len(m.langs)
-        table = np.zeros((1024, k))
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> int:
-                nonlocal table
-                i = len(self)
-                if i >= len(table):
-                    table = np.concatenate((table, np.zeros_like(table)))
-                table[i] = m.word(word)
-                self[word] = i
-                return i
-
-        memo = Memo()
+        rows: dict[str, int] = {}
+        table = np.zeros((0, k))
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text in b.column(len(columns)).to_pylist():
-                words = WORD.findall(text.lower()) if text and k and any(map(str.isalpha, text)) else []
+            texts = [WORD.findall(t.lower()) if t and k and any(map(str.isalpha, t)) else [] for t in b.column(len(columns)).to_pylist()]
+            if len(rows) > MEMO_WORDS:
+                rows, table = {}, table[:0]
+            if new := list(set().union(*texts) - rows.keys()):
+                rows |= zip(new, range(len(rows), len(rows) + len(new)), strict=True)
+                while len(table) < len(rows):
+                    table = np.concatenate((table, np.zeros((max(1024, len(table), len(rows) - len(table)), k))))
+                table[len(rows) - len(new) : len(rows)] = m.words(new)
+            for words in texts:
                 row = (UNDETERMINED, 0.0, len(words), [])
                 if words:
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                    at = [memo[w] for w in words]  # may move the table
-                    s = table[at]
+                    s = table[[rows[w] for w in words]]
                     found = spans(s, switch)
                     if len(found) == 1:
                         top, share, own = found[0][2], 1.0, s.sum(axis=0)

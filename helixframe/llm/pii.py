@@ -200,7 +200,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     lists = lists.where("n_entities > 0").select("__key", F.col("l.new").alias("new"), "n_entities")
     between = F.split(F.col("text"), _pattern(), -1)
     whole = F.array_join(F.flatten(F.zip_with(between, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = some.select("__key", "text", "row").join(lists, "__key", "left")
+    changed = some.select("__key", "row").join(lists, "__key", "left").withColumn("text", F.col("row")["text"])
     changed = changed.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(whole).alias("text"), F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
     clean = keyed.where(F.coalesce(F.size("__found"), F.lit(0)) <= 0).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
     out = clean.unionByName(changed)

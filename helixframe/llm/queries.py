@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontamination, html_text, language, near_dedup, neighbours, packing, pii, substring_dedup, token_counts, warc
+from helixframe.llm import decontamination, html_text, language, near_dedup, neighbours, oracles, packing, pii, substring_dedup, token_counts, warc
 from helixframe.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontamination.ORACLE}
+    return oracles.oracle_sql()
