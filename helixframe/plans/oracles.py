@@ -158,6 +158,16 @@ SQL: dict[str, str] = {
     "stream_counts_merge": f"select chr, pos, {', '.join(_COUNTS)} from {_WHOLE} w",
     "stream_gamma_fit": f"select chr, pos, n, round(sx, 6) as sx, round(slx, 6) as slx, round(sxlx, 6) as sxlx from {_STATS} f",
 }
+# Greedy from the left: each occurrence taken leads to the next one that is far enough. Only k-mers found twice in a
+# sequence need it; the others are taken once each.
+SQL["kmer_nonoverlap"] = f"""
+with found as materialized (select seq_id, kmer, pos from {_kmers('seqs', 20)} k), many as (select seq_id, kmer, list(pos order by pos) as l from found group by all having count(*) > 1),
+taken(seq_id, kmer, l, last, n) as (select seq_id, kmer, l, l[1], 1 from many union all select seq_id, kmer, l, list_filter(l, lambda p: p >= last + 20)[1], n + 1 from taken where len(list_filter(l, lambda p: p >= last + 20)) > 0)
+select kmer, sum(n)::bigint as n from (select kmer, max(n) as n from taken group by seq_id, kmer union all select kmer, 1 from found group by seq_id, kmer having count(*) = 1) group by kmer having sum(n) > 1
+"""
+SQL["allele_json"] = f"""select concat('{{', string_agg(concat('"', locus, '":{{', alleles, '}}'), ',' order by locus), '}}') as json from (select locus, string_agg(concat('"', allele, '":', n), ',' order by allele) as alleles from ({SQL['allele_typing']}) group by locus)"""
+# The upper tail for odd degrees of freedom, 63, by its finite sum.
+SQL["hash_bins"] = f"""select total, round(chi2, 6) as chi2, round(1 - list_sum(list_transform(range(0, 400), lambda i: exp(-chi2 / 2 + (31.5 + i) * ln(chi2 / 2) - lgamma(32.5 + i)))), 4) as p from (select sum(n)::bigint as total, sum(n * n) * 64.0 / sum(n) - sum(n) as chi2 from (select h % 64 as b, count(*) as n from {_murmur('id * 4294967311', 17, '(select distinct id from <alignments>)', 'id')} m group by 1))"""
 _CALLED = f"""(select w.chr, w.pos, ref, 0.002 / (1 + nA) as pval, nA+nC+nG+nT as dp, unnest(['A', 'C', 'G', 'T']) as alt, unnest([nA, nC, nG, nT]) as ac from {_NAMED} w join <bases> b on b.chr = w.chr and b.pos = w.pos)"""
 _PASSED = f"(select * from {_CALLED} c where dp >= 100 and ac >= 3 and alt <> ref and pval <= 1e-4)"
 SQL["call_variants"] = f"select chr, pos, ref, alt, round(-10 * log10(pval), 4) as qual, ac, round(ac::double / dp, 6) as af, dp, concat(chr, ':g.', pos, ref, '>', alt) as hgvsg from {_PASSED} p"
