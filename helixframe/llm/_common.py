@@ -6,17 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts are whole documents, so batches are kept short to bound a Python worker's memory.
 BATCH_ROWS = 256
 
-#: Words are maximal runs of bytes other than these six, which is also what bytes.split() separates on.
-WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hold Arrow batches to ``rows`` rows for the plans made from now on."""
@@ -33,8 +28,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that this session has made below the shared one.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/helixframe/{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_root(spark)}/helixframe/{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove all that operators of this session have written to the shared folder; results not yet saved go with it."""
+    while _made:
+        _removed(spark, _made.pop())
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,17 +59,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Remove the files of tables made by written(), once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _removed(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
-    """The columns of each batch as Python lists."""
-    for b in batches:
-        yield [c.to_pylist() for c in b.columns]
