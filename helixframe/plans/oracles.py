@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
     "genome_to_chrom": f"select pos + start as linear, chr, pos from <bases> b join {_GENOME} g on g.chrom = b.chr",
     "locus_order": f"select chr, pos, {_ORD.format('chr')} as ord, coalesce(({_ORD.format('chr')})::varchar, concat('raw:', chr)) as key from {_WHOLE} w",
     "order_check": "select chr, count(*) as n from (select chr, pos, lag(pos) over (partition by chr order by id) as before from (select chr, id, min(pos) as pos from <alignments> group by all)) where before >= pos group by chr",
-    "ordered_merge": "select pos, sum(nA)::bigint as nA, sum(nC)::bigint as nC from <counts> where sample in (1, 2) group by pos",
+    "ordered_merge": "select pos, sum(nA)::bigint as nA, sum(nC)::bigint as nC from <counts> group by pos",
     "positional_zip": "select seq_id as idx, length(seq)::int as n1, length(replace(seq, 'N', ''))::int as n2 from <seqs>",
     "tsv_map": 'select chr, start, "end", gene, "end" - start as len from <regions>',
     "rank_select": 'select q as query, (select count(distinct start % 997) from <regions> where start % 997 < q)::bigint as rank from (select distinct "end" % 1100 as q from <regions>)',
@@ -125,7 +125,7 @@ SQL: dict[str, str] = {
     "cigar_decode": "select cigar, i::int as i, op, len from (select cigar, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDSH])', 2)) as op, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDSH])', 1))::bigint as len, unnest(range(len(regexp_extract_all(cigar, '[MIDSH]')))) as i from (select distinct cigar from <alignments>))",
     "flag_predicates": "select flags, " + ", ".join(f"count(*) filter (flags & {1 << i} <> 0) as {n}" for i, n in enumerate(("paired", "proper_pair", "unmapped", "mate_unmapped", "reverse", "mate_reverse", "read_1", "read_2", "secondary", "qc_fail", "duplicate", "supplementary"))) + " from <alignments> group by flags",
     "revcomp": "select seq_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) as digest from <seqs>",
-    "hamming": f"select a.seq_id, {_packed('a.kmer', 15)} as x, a.kmer, (select count(*) from range(1, 16) t(i) where substr(a.kmer, i::int, 1) <> substr(b.kmer, i::int, 1))::int as distance from {_kmers('reference', 15)} a join {_kmers('reference', 15)} b on b.seq_id = a.seq_id + 1 and a.pos = 0 and b.pos = 0",
+    "hamming": f"select a.seq_id, a.pos::int as pos, {_packed('a.kmer', 15)} as x, a.kmer, (select count(*) from range(1, 16) t(i) where substr(a.kmer, i::int, 1) <> substr(b.kmer, i::int, 1))::int as distance from {_kmers('reference', 15)} a join {_kmers('reference', 15)} b on b.seq_id = a.seq_id + 1 and a.pos = b.pos",
     "gc_entropy": "select seq_id, round(coalesce(-(select sum(n / length(s.seq)::double * log2(n / length(s.seq)::double)) from (select unnest([length(s.seq) - length(replace(s.seq, b, '')) for b in ['A', 'C', 'G', 'T', 'N']]) as n) where n > 0), 0), 6) as entropy from <seqs> s",
     "murmur_hash": f"select id, h as hash from {_murmur('id * 4294967311', 17, '(select distinct id from <alignments>)', 'id')} m",
     "hash_bias": f"select bit::int as bit, sum((h >> bit) & 1)::bigint as ones, count(*) as total, round((power(sum((h >> bit) & 1) - count(*) / 2.0, 2) + power(count(*) - sum((h >> bit) & 1) - count(*) / 2.0, 2)) / (count(*) / 2.0), 6) as chi2 from {_murmur('id * 4294967311', 17, '(select distinct id from <alignments>)', 'id')} m, range(32) t(bit) group by bit",

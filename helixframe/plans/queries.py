@@ -156,8 +156,8 @@ def order_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordered_merge(spark: SparkSession, sf: str) -> DataFrame:
-    each = view(spark, sf, "counts").groupBy("sample", "pos").agg(F.sum("nA").alias("nA"), F.sum("nC").alias("nC"))
-    a, b = (each.where(F.col("sample") == s).drop("sample") for s in (1, 2))
+    each = view(spark, sf, "counts")
+    a, b = (each.where(half).groupBy("pos").agg(F.sum("nA").alias("nA"), F.sum("nC").alias("nC")) for half in (F.col("sample") < 5, F.col("sample") >= 5))
     return tables.combined(a, b, ["pos"], lambda name, left, right: left + right)
 
 
@@ -195,10 +195,9 @@ def revcomp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hamming(spark: SparkSession, sf: str) -> DataFrame:
-    found = kmers.kmers(view(spark, sf, "reference"), 15, "seq_id").where("pos = 0").select("seq_id", kmers.packed(F.col("kmer")).alias("x"), "kmer")
-    other = found.select(F.col("seq_id").alias("other_id"), F.col("x").alias("y"), F.col("kmer").alias("kmer2"))
-    met = found.join(other, found["seq_id"] + 1 == other["other_id"])
-    return met.select("seq_id", "x", kmers.unpacked(F.col("x"), 15).alias("kmer"), kmers.hamming(F.col("x"), F.col("y")).alias("distance"))
+    found = kmers.kmers(view(spark, sf, "reference"), 15, "seq_id").select("seq_id", "pos", kmers.packed(F.col("kmer")).alias("x"))
+    other = found.select((F.col("seq_id") - 1).alias("seq_id"), "pos", F.col("x").alias("y"))
+    return found.join(other, ["seq_id", "pos"]).select("seq_id", "pos", "x", kmers.unpacked(F.col("x"), 15).alias("kmer"), kmers.hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
 def gc_entropy(spark: SparkSession, sf: str) -> DataFrame:
