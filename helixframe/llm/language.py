@@ -8,7 +8,6 @@ model is fitted on labelled rows and knows exactly the labels that it has seen.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -49,11 +48,28 @@ def script_of(word: str) -> str:
     return SCRIPT_RANGES[i][1] if i >= 0 else ""
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the bigrams, trigrams and the whole of a lower-case word between its borders."""
-    raw = f"^{word}$"
-    parts = [raw[i : i + 2] for i in range(len(raw) - 1)] + [raw[i : i + 3] for i in range(len(raw) - 2)] + [raw]
-    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
+def _buckets(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the bigrams, trigrams and whole of lower-case words between their borders, word by word.
+
+    All words are one array of code points, so the hashes take a few operations for all of them.
+    """
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(size.cumsum(), size) - np.arange(len(c))  # code points from here to the end of the word
+    two = c[:-1] * np.uint64(0x1F123BB5) + c[1:] * np.uint64(0x5851F42D4C957F2D)
+    three = two[:-1] + c[2:] * np.uint64(0xD1342543DE82EF95)
+    whole = np.add.reduceat(c * (left.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)), np.concatenate(([0], size.cumsum()[:-1])))
+    at2, at3 = np.flatnonzero(left[:-1] >= 2), np.flatnonzero(left[:-2] >= 3)
+    bucket = np.concatenate((_buckets(two[at2] + np.uint64(1)), _buckets(three[at3] + np.uint64(2)), _buckets(whole + np.uint64(3))))
+    owner = np.concatenate((word[at2], word[at3], np.arange(len(words))))
+    order = np.argsort(owner, kind="stable")
+    return bucket[order], owner[order]
 
 
 @dataclass
@@ -64,9 +80,8 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-scores of words (rows) for each language, 0 for the best of a word."""
-        each = [grams(w) for w in words]
-        starts = np.cumsum([0, *map(len, each)])[:-1]
-        s = np.add.reduceat(self.weights[[g for gs in each for g in gs]], starts, axis=0)
+        bucket, owner = grams(words)
+        s = np.add.reduceat(self.weights[bucket], np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), axis=0)
         every = np.ones(len(self.langs), dtype=bool)
         own = [self.scripts.get(script_of(w)) for w in words]
         s = np.where(np.array([every if m is None else m for m in own]), s, -np.inf)
@@ -104,8 +119,10 @@ def fit(docs: DataFrame, *, per_lang: int = TRAIN_ROWS) -> Model:
         out: list[list] = [[], [], [], []]
         for lang, all_words in words.items():
             n, scripts = np.zeros(BUCKETS, dtype=np.int64), Counter()
+            if all_words:
+                bucket, owner = grams(list(all_words))
+                np.add.at(n, bucket, np.fromiter(all_words.values(), dtype=np.int64, count=len(all_words))[owner])
             for w, k in all_words.items():
-                np.add.at(n, grams(w), k)
                 scripts[script_of(w)] += k
             for c, v in zip(out, ([lang] * int((n > 0).sum()), [""] * int((n > 0).sum()), np.flatnonzero(n).tolist(), n[n > 0].tolist()), strict=True):
                 c.extend(v)
@@ -199,7 +216,7 @@ def identify(docs: DataFrame, model: Model, *, columns: tuple[str, ...] = ("doc_
             for words in texts:
                 row = (UNDETERMINED, 0.0, len(words), [])
                 if words:
-                    s = table[[rows[w] for w in words]]
+                    s = table[np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))]
                     found = spans(s, switch)
                     if len(found) == 1:
                         top, share, own = found[0][2], 1.0, s.sum(axis=0)
