@@ -196,3 +196,9 @@ def test_surrogates_that_meet_are_drawn_again(spark):
     df = spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(real)], DDL)
     got = [r.text.split()[1] for r in pii.pseudonymised(df, "k").collect()]
     assert len(set(got)) == len(real) and not set(got) & set(real) and all(x.startswith("192.168.") for x in got)
+
+
+def test_long_runs_of_what_mentions_are_made_of(spark):
+    runs = ["x@" + "a." * 100_000, "x@" + "a" * 200_000 + ".", "1" * 200_000, "1.2." * 50_000, "+1 (" * 50_000, "Mr. " * 50_000 + "John", "A" * 200_000, "12-" * 60_000, "." * 200_000 + "@" * 1000]
+    df = spark.createDataFrame(list(enumerate(runs)), DDL)
+    assert {r.doc_id: r.text for r in pii.pseudonymised(df, "k").collect()}.keys() == set(range(len(runs)))
