@@ -113,7 +113,7 @@ def vcf_meta(lines: DataFrame) -> DataFrame:
     """(kind, value, kvs) of the "##" lines of ``lines`` (value): pairs of "<...>" without their quotes, else the value."""
     body = F.expr("substring(value, 3)")
     kind, rest = F.substring_index(body, "=", 1), F.expr("substring(value, instr(value, '=') + 1)")
-    piece = r'([^=,<>]+)=("(?:[^"\\]|\\.)*"|[^,>]*)'
+    piece = r'([^=,<>]+)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,>]*)'
     keys, values = (F.regexp_extract_all(F.expr("substring(rest, 2, length(rest) - 2)"), F.lit(piece), F.lit(i)) for i in (1, 2))
     plain = lambda v: F.regexp_replace(v, '^"(.*)"$', "$1")
     kvs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), plain(v).alias("value")))

@@ -110,6 +110,8 @@ def test_genome_axis(spark):
 def test_cigar_and_flags(spark):
     df = spark.createDataFrame([("27M1I47M",), ("*",), ("3Q",)], "c string").select(alignment.cigar_ops(F.col("c")).alias("o"))
     assert [r.o and [(x.op, x.len) for x in r.o] for r in df.collect()] == [[("M", 27), ("I", 1), ("M", 47)], None, None]
+    long = spark.createDataFrame([("1M1I" * 50_000,)], "c string").select(F.size(alignment.cigar_ops(F.col("c")))).first()
+    assert long[0] == 100_000
     row = spark.createDataFrame([(163,)], "f int").select(*(alignment.flag(n, F.col("f")).alias(n) for n in alignment.FLAGS)).first()
     assert row.read_2 and row.paired and row.proper_pair and row.mate_reverse and not row.read_1 and not row.unmapped
 
