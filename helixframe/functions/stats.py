@@ -33,6 +33,20 @@ def kld(sample: list[Column], whole: list[Column]) -> Column:
     return F.when(st == 0, 0.0).otherwise(_sum(terms))
 
 
+def relative_entropy(p: Column, q: Column) -> Column:
+    """Divergence of two arrays of probabilities, p from q; an error if they differ in length or q lacks what p has."""
+    bad = lambda text: F.raise_error(F.lit(text)).cast("double")
+    term = lambda a, b: F.when(a == 0, 0.0).when(b == 0, bad("no probability where there is some")).otherwise(a * F.log(F.try_divide(a, b)))
+    return F.when(F.size(p) != F.size(q), bad("arrays of unequal length")).otherwise(F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x))
+
+
+def moments(n: Column, sx: Column, sxx: Column) -> tuple[Column, Column]:
+    """Shape and scale of a gamma distribution from count, sum and sum of squares, by mean and variance."""
+    mean = F.try_divide(sx, n)
+    variance = F.try_divide(sxx, n) - mean * mean
+    return F.try_divide(mean * mean, variance), F.try_divide(variance, mean)
+
+
 def gamma_parameters(n: Column, sx: Column, slx: Column, sxlx: Column) -> tuple[Column, Column]:
     """Closed-form shape and scale from the count and the sums of x, ln x and x ln x; a fixed scale where x hardly varies."""
     v = n * sxlx - sx * slx

@@ -39,15 +39,32 @@ def parsed_genomic(text: Column) -> Column:
     return out
 
 
-def genomic(acc: Column, kind: Column, first: Column, last: Column, ref: Column, alt: Column) -> Column:
-    """The text of a genomic description; one position stands for a range of one."""
-    one, two = first.cast("string"), F.concat(first.cast("string"), F.lit("_"), last.cast("string"))
-    at = F.when(first == last, one).otherwise(two)
+def notation(acc: Column, system: str, kind: Column, first: Column, last: Column, ref: Column, alt: Column) -> Column:
+    """The text of a description from those of its first and last positions; one position stands for a range of one."""
+    two = F.concat(first, F.lit("_"), last)
+    at = F.when(first == last, first).otherwise(two)
     what = (
-        F.when(kind == "sub", F.concat(one, ref, F.lit(">"), alt)).when(kind == "ins", F.concat(two, F.lit("ins"), alt)).when(kind == "del", F.concat(at, F.lit("del")))
+        F.when(kind == "sub", F.concat(first, ref, F.lit(">"), alt)).when(kind == "ins", F.concat(two, F.lit("ins"), alt)).when(kind == "del", F.concat(at, F.lit("del")))
         .when(kind == "delins", F.concat(at, F.lit("delins"), alt)).when(kind == "dup", F.concat(at, F.lit("dup"))).when(kind == "inv", F.concat(at, F.lit("inv"))).when(kind == "id", F.concat(at, F.lit("=")))
     )
-    return F.concat(acc, F.lit(":g."), what)
+    return F.concat(acc, F.lit(f":{system}."), what)
+
+
+def genomic(acc: Column, kind: Column, first: Column, last: Column, ref: Column, alt: Column) -> Column:
+    """The text of a genomic description from numbers."""
+    return notation(acc, "g", kind, first.cast("string"), last.cast("string"), ref, alt)
+
+
+def coding(acc: Column, kind: Column, first: Column, last: Column, ref: Column, alt: Column) -> Column:
+    """The text of a description on a transcript, from structs as transcript_locus() gives them."""
+    place = lambda x: locus_text(x["zone"], x["pos"], x["rel"])
+    return notation(acc, "c", kind, place(first), place(last), ref, alt)
+
+
+def parsed_locus(text: Column) -> Column:
+    """struct<chr, pos> of a text such as chr1:12345; null if it is none."""
+    whole = "^([^:]+):([0-9]+)$"
+    return F.when(text.rlike(whole), F.struct(F.regexp_extract(text, whole, 1).alias("chr"), F.regexp_extract(text, whole, 2).try_cast("long").alias("pos")))
 
 
 def described(alleles: DataFrame, *, compat: bool = False) -> DataFrame:

@@ -168,6 +168,11 @@ select kmer, sum(n)::bigint as n from (select kmer, max(n) as n from taken group
 SQL["allele_json"] = f"""select concat('{{', string_agg(concat('"', locus, '":{{', alleles, '}}'), ',' order by locus), '}}') as json from (select locus, string_agg(concat('"', allele, '":', n), ',' order by allele) as alleles from ({SQL['allele_typing']}) group by locus)"""
 # The upper tail for odd degrees of freedom, 63, by its finite sum.
 SQL["hash_bins"] = f"""select total, round(chi2, 6) as chi2, round(1 - list_sum(list_transform(range(0, 400), lambda i: exp(-chi2 / 2 + (31.5 + i) * ln(chi2 / 2) - lgamma(32.5 + i)))), 4) as p from (select sum(n)::bigint as total, sum(n * n) * 64.0 / sum(n) - sum(n) as chi2 from (select h % 64 as b, count(*) as n from {_murmur('id * 4294967311', 17, '(select distinct id from <alignments>)', 'id')} m group by 1))"""
+SQL["vbyte_code"] = "select pos, array_to_string(list_transform(range(g), lambda i: ((x >> (7 * (g - 1 - i))) & 127) * 2 + case when i < g - 1 then 1 else 0 end), ',') as code, x as back from (select pos, pos * pos * 9973 as x, ((length(bin(pos * pos * 9973)) + 6) // 7)::bigint as g from <bases>)"
+SQL["locus_parse"] = "select concat(chr, ':', pos) as text, chr, pos from <bases>"
+SQL["gamma_moments"] = "select sample, round(avg(nA) * avg(nA) / var_pop(nA), 6) as k, round(var_pop(nA) / avg(nA), 6) as theta from <counts> group by sample"
+_SHARE = " + ".join(f"case when {c} = 0 then 0 else {c}::double / t * ln(4.0 * {c} / t) end" for c in ("nA", "nC", "nG", "nT"))
+SQL["base_divergence"] = f"select sample, chr, pos, round({_SHARE}, 6) as divergence from (select *, nA + nC + nG + nT as t from <counts>) where t > 0"
 _CALLED = f"""(select w.chr, w.pos, ref, 0.002 / (1 + nA) as pval, nA+nC+nG+nT as dp, unnest(['A', 'C', 'G', 'T']) as alt, unnest([nA, nC, nG, nT]) as ac from {_NAMED} w join <bases> b on b.chr = w.chr and b.pos = w.pos)"""
 _PASSED = f"(select * from {_CALLED} c where dp >= 100 and ac >= 3 and alt <> ref and pval <= 1e-4)"
 SQL["call_variants"] = f"select chr, pos, ref, alt, round(-10 * log10(pval), 4) as qual, ac, round(ac::double / dp, 6) as af, dp, concat(chr, ':g.', pos, ref, '>', alt) as hgvsg from {_PASSED} p"

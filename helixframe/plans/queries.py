@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.functions import alignment, chrom, kmers, stats, text, variants
+from helixframe.functions import alignment, chrom, coding, kmers, stats, text, variants
 from helixframe.operators import counts, features, intervals, reads, tables
 from helixframe.plans.fixtures import view
 from helixframe.streaming import incremental
@@ -345,6 +345,30 @@ def human_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "counts").groupBy("sample").agg(F.sum(F.col("nA") * 100).alias("n")).select("sample", "n", stats.human(F.col("n")).alias("text"))
 
 
+def vbyte_code(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "bases").select("pos", (F.col("pos") * F.col("pos") * 9973).alias("x")).withColumn("code", coding.vbyte(F.col("x")))
+    return rows.select("pos", F.array_join(F.transform("code", lambda b: b.cast("string")), ",").alias("code"), coding.from_vbyte(F.col("code")).alias("back"))
+
+
+def locus_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "bases").select(F.concat("chr", F.lit(":"), F.col("pos").cast("string")).alias("text"))
+    return rows.select("text", variants.parsed_locus(F.col("text")).alias("l")).select("text", "l.chr", "l.pos")
+
+
+def gamma_moments(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("nA").cast("double")
+    sums = view(spark, sf, "counts").groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+    k, theta = stats.moments(F.col("n"), F.col("sx"), F.col("sxx"))
+    return sums.select("sample", F.round(k, 6).alias("k"), F.round(theta, 6).alias("theta"))
+
+
+def base_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.col("nA") + F.col("nC") + F.col("nG") + F.col("nT")
+    shares = F.array(*(F.try_divide(F.col(c).cast("double"), total) for c in ("nA", "nC", "nG", "nT")))
+    even = F.array(*(F.lit(0.25) for _ in range(4)))
+    return view(spark, sf, "counts").where(total > 0).select("sample", "chr", "pos", F.round(stats.relative_entropy(shares, even), 6).alias("divergence"))
+
+
 def _as_stream(spark: SparkSession, rows: DataFrame, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The final state of ``query`` over ``rows`` as a stream of files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='helixframe-stream-')}"

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,6 +43,28 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "idx", F.rtrim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")).alias("name"), F.array_join(F.transform(body, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "").alias("seq"))
 
 
+#: Names that the file of a chromosome may have in a folder, in the order in which they are tried.
+GENOME_FILES = ("{0}.fa.gz", "chr{0}.fa.gz", "{0}.fa", "chr{0}.fa")
+
+
+def read_genome(spark: SparkSession, folder: str, chroms: list[str]) -> DataFrame:
+    """(acc, seq) of the first sequence in the file of each chromosome; one without a file is an error."""
+    fs_of = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = fs_of.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    for chrom in chroms:
+        names = [f"{folder.rstrip('/')}/{n.format(chrom)}" for n in GENOME_FILES]
+        found[chrom] = next((n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n))), None)
+        if found[chrom] is None:
+            raise FileNotFoundError(f"no sequence of {chrom} in {folder}")
+    each = [read_fasta(spark, path).where("idx = 0").select(F.lit(chrom).alias("acc"), "seq") for chrom, path in found.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def write_kmers(counted: DataFrame, path: str) -> None:
+    """Counted k-mers (kmer, n) in their order, so that neighbours share most of their letters in the files."""
+    counted.repartitionByRange("kmer").sortWithinPartitions("kmer").write.option("compression", "zstd").parquet(path)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, idx, id, seq, id2, qual) of four-line records; one that isn't such a record is an error."""
     lines = _numbered(spark, path, "\n").where("value <> '' or idx % 4 <> 0")

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions import alignment, chrom, kmers, stats, text, variants
-from helixframe.operators import features
+from helixframe.functions import alignment, chrom, coding, kmers, stats, text, variants
+from helixframe.operators import features, hash_search
 
 SEQ = "AGCCAGTTCCGGGTGTCGCCGCTGGATCGGACCTGGAACCTGGGCGAGACAGTGGAGCTG"
 
@@ -199,3 +199,36 @@ def test_transcripts_near(spark):
     loci = spark.createDataFrame([("chr2", 2100), ("chr2", 2249), ("chr2", 2250), ("chr2", 2650)], "chr string, pos0 long")
     got = sorted((r.pos0, r.accession) for r in features.transcripts_near(loci, tx).collect())
     assert got == [(2100, "NM_1"), (2100, "NM_2"), (2249, "NM_1"), (2249, "NM_2"), (2250, "NM_2")]
+
+
+def test_byte_codes(spark):
+    cases = {0: [0], 1: [2], 123: [246], 1234: [19, 164], 2**62 + 5: None}
+    df = spark.createDataFrame([(x,) for x in cases], "x long").withColumn("c", coding.vbyte(F.col("x"))).withColumn("back", coding.from_vbyte(F.col("c")))
+    rows = df.collect()
+    assert all(r.back == r.x and (cases[r.x] is None or r.c == cases[r.x]) for r in rows)
+    texts = spark.createDataFrame([("é" * 9,), ("",), (None,)], "t string").select("t", coding.gunzipped(coding.gzipped(F.col("t"))).alias("u"))
+    assert all(r.t == r.u for r in texts.collect())
+
+
+def test_more_statistics(spark):
+    df = spark.createDataFrame([([0.5, 0.5], [0.25, 0.75]), ([1.0, 0.0], [1.0, 0.0])], "p array<double>, q array<double>")
+    got = [r[0] for r in df.select(stats.relative_entropy(F.col("p"), F.col("q"))).collect()]
+    assert got == pytest.approx([0.5 * math.log(2) + 0.5 * math.log(2 / 3), 0.0])
+    with pytest.raises(Exception, match="no probability"):
+        spark.createDataFrame([([1.0], [0.0])], "p array<double>, q array<double>").select(stats.relative_entropy(F.col("p"), F.col("q"))).collect()
+    k, theta = spark.createDataFrame([(4, 20.0, 120.0)], "n long, sx double, sxx double").select(*stats.moments(F.col("n"), F.col("sx"), F.col("sxx"))).first()
+    assert (k, theta) == pytest.approx((5.0, 1.0))
+
+
+def test_coding_notation_and_loci(spark):
+    df = spark.createDataFrame([(("UTR5", -6, 7), ("CODING", 2, 0)), (("UTR3", 3, 0), ("UTR3", 3, 0))], "a struct<zone:string,pos:bigint,rel:bigint>, b struct<zone:string,pos:bigint,rel:bigint>")
+    texts = lambda kind: [r[0] for r in df.select(variants.coding(F.lit("NM_1.1"), F.lit(kind), F.col("a"), F.col("b"), F.lit("A"), F.lit("C"))).collect()]
+    assert texts("del") == ["NM_1.1:c.-6+7_2del", "NM_1.1:c.*3del"] and texts("sub")[1] == "NM_1.1:c.*3A>C" and texts("delins")[0] == "NM_1.1:c.-6+7_2delinsC"
+    at = spark.createDataFrame([("chr1:55",), ("x",)], "t string").select(variants.parsed_locus(F.col("t"))).collect()
+    assert tuple(at[0][0]) == ("chr1", 55) and at[1][0] is None
+
+
+def test_hash_search(spark):
+    rows = hash_search.search(spark, 6, values=4096).collect()
+    assert len(rows) == 6 and all(len(r.lefts) == 2 and 0 <= r.p_bits <= 1 and 0 <= r.p_bins <= 1 for r in rows) and rows == hash_search.search(spark, 6, values=4096).collect()
+    assert hash_search.scores(np.zeros(1000, dtype=np.uint64))[1] < 1e-9

@@ -157,3 +157,14 @@ def test_small_files(spark, tmp_path):
     assert tf.read_sizes(spark, write(tmp_path, "g.json", '{"b": 1,\n "a": 2}')) == {"a": 2, "b": 1}
     ref = write(tmp_path, "ref.tsv", "#bin\tname\n1\tNM_1\tchr1\t+\t1\t9\t2\t8\t2\t1,6,\t4,9,\t0\tG\tc\tc\t0,1,\n")
     assert [tuple(e) for e in tf.read_refgene(spark, ref).first().exons] == [(1, 4), (6, 9)]
+
+
+def test_genome_folder_and_kmer_files(spark, tmp_path):
+    write(tmp_path, "chr1.fa", ">1\nACGT\n>other\nG\n")
+    write(tmp_path, "X.fa.gz", ">X\nGG\n")
+    assert sorted(map(tuple, seqs.read_genome(spark, str(tmp_path), ["1", "X"]).collect())) == [("1", "ACGT"), ("X", "GG")]
+    with pytest.raises(FileNotFoundError):
+        seqs.read_genome(spark, str(tmp_path), ["7"])
+    df = spark.createDataFrame([("CC", 2), ("AA", 1)], "kmer string, n long")
+    seqs.write_kmers(df, f"{tmp_path}/kmers")
+    assert [r.kmer for r in spark.read.parquet(f"{tmp_path}/kmers").orderBy("kmer").collect()] == ["AA", "CC"]
