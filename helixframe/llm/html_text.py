@@ -61,6 +61,8 @@ MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp
 LISTS = frozenset("ul ol menu dir".split())
 #: Cells are padded to their column's width, up to this many characters.
 WIDEST = 60
+#: A table that would take more characters than this, and most of them padding, is written cell below cell.
+MOST_PADDED = 1 << 20
 
 NAME = re.compile(r"[^\s/>]+")
 #: The rest of a tag: attributes with quoted values that may hold ">".
@@ -275,6 +277,10 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 width[col] = max(width.get(col, 0), *(min(len(x), WIDEST) for x in lines or [""]))
             col += across
         grid.append(placed)
+    height = [max((len(lines) for _, _, lines in placed), default=0) for placed in grid]
+    whole = sum(h * (sum(width.get(c, 0) + 2 for c in range(placed[-1][0] + placed[-1][1])) if placed else 0) for h, placed in zip(height, grid, strict=True))
+    if whole > MOST_PADDED and whole > 4 * sum(len(x) for placed in grid for _, _, lines in placed for x in lines):
+        return [x for placed in grid for _, _, lines in placed for x in lines]
     out = []
     for placed in grid:
         for i in range(max((len(lines) for _, _, lines in placed), default=0)):
@@ -384,7 +390,7 @@ def rendered(root: Node) -> str:
         if tag == "details" and "open" not in node.attributes():
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         todo.extend((c, visible, True) for c in reversed(children))
-    return "\n".join(pages[0].done()).strip("\n").replace(" ", " ")
+    return "\n".join(pages[0].done()).strip("\n").replace("\u00a0", " ")
 
 
 def extract(pages: DataFrame) -> DataFrame:

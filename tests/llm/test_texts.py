@@ -151,6 +151,8 @@ PAGES = {
 def test_html(spark):
     for html, text in PAGES.items():
         assert html_text.rendered(html_text.parsed(html)) == text, html
+    tall = "<table><tr>" + "<td>cell" * 5000 + "<td>" + "a<br>" * 5000 + "</table>"
+    assert html_text.rendered(html_text.parsed(tall)).count("\n") == 9999
     deep = "<div><ul><li><b>" * 5000 + "deep"
     assert html_text.rendered(html_text.parsed(deep)).endswith("deep")
     rows = [(1, None), (2, ""), (None, "<p>a"), (4, "<p>a"), (4, "<p>a"), (5, "<b>" * 100_000 + "x"), (6, "<p>" + "w " * 100_000)]
