@@ -29,6 +29,8 @@ WINDOW, GRAM = 35, 8
 HEAVY = 1500
 #: Runs of the index beyond which they are merged.
 FANOUT = 4
+#: Parts that equal heavy runs are dealt to where they meet their masks.
+SALT = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _BITS = np.arange(WINDOW - GRAM + 1)
@@ -230,7 +232,9 @@ def _heavy(runs: DataFrame) -> DataFrame:
     often = each.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
     masks = each.join(often, "w").groupBy("fp", "windows").agg(F.sum(bit).alias("mask"))
-    return runs.join(masks, ["fp", "windows"]).select("key", "firsts", "mask", F.col("windows")[0].alias("head"))
+    masks = masks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("key", F.col("firsts")[0]), F.lit(SALT)).cast("int"))
+    return salted.join(masks, ["fp", "windows", "salt"]).select("key", "firsts", "mask", F.col("windows")[0].alias("head"))
 
 
 def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
