@@ -275,7 +275,8 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     found = fingerprints(docs).join(index.repeated(), "fp")
     # The rows of one text are counted here, and one of them speaks for all.
     at = found.groupBy("key", "pos", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    places = at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places"))
+    # Written, so that the join reads it as it is: Spark splits the copies of a text only between two plain shuffles.
+    places = written(at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places")), "places")
     z_types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
     texts = docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, z_types), "doc_id long, key long, z binary")
     w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
@@ -286,7 +287,7 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     judged = written(runs.mapInArrow(_judged, "fp long, key long, firsts array<int>, copies long, windows array<long>, mask long, head long"), "judged")
     light = judged.where("mask is not null").select("key", "firsts", "mask", "head")
     heavy = _heavy(judged.where("mask is null").select("fp", "key", "firsts", "copies", "windows"))
-    flags = light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("firsts", "mask", "head")).alias("flags"))
+    flags = written(light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("firsts", "mask", "head")).alias("flags")), "flags")
     o_types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
     return texts.join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
