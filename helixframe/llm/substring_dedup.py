@@ -2,10 +2,11 @@
 
 Hashing every window of a corpus into an index would take as much room as the corpus. Of the short grams inside each
 window one is selected, the least by hash; equal windows select equal grams, so a window can only occur twice if its
-selected gram does. The index holds the selected grams' hashes: each batch of documents adds a sorted, immutable run of
-(fingerprint, count), and runs are merged when there are too many. To judge documents, their fingerprints are
-merge-joined with the index; windows around those that occur more than once are then verified by their own 64-bit
-hashes (among windows of one fingerprint only), and words under a verified window go.
+selected gram does. The index holds where the selected grams stand: each batch of documents adds a sorted, immutable run
+of (fingerprint, text, position), and its texts, compressed; runs are merged when there are too many. To judge a batch,
+its fingerprints are merge-joined with all runs; windows around those that occur more than once, in the batch and in
+what came before, are then verified by their own 64-bit hashes (among windows of one fingerprint only), and words under
+a verified window go.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ FANOUT = 4
 #: Parts that equal heavy runs are dealt to where they meet their masks.
 SALT = 32
 
+ZIPPED = "doc_id long, key long, z binary"
+RUN = "fp long, key long, pos int, copies long, least long"
+
 _BASE = 0x9E3779B97F4A7C15
 _BITS = np.arange(WINDOW - GRAM + 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,34 +115,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "fp long, key long, pos int, doc_id long")
 
 
+def _zipped(hasher: Hasher, row: tuple) -> list[tuple]:
+    raw = (row[1] or "").encode()
+    return [(row[0], _text_key(raw), zstandard.compress(raw, 1))]
+
+
+def zipped(docs: DataFrame) -> DataFrame:
+    types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
+    return docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, types), ZIPPED)
+
+
 class Index:
-    """Sorted immutable runs of (fp, n) in a folder. Runs are only ever added, or replaced by their merger."""
+    """Sorted immutable runs of (fp, key, pos, copies, least) in a folder, and the texts that the keys name.
+
+    Runs are only ever added, or replaced by their merger. ``copies`` rows have the text ``key``, ``least`` is the least
+    id among them.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.made = spark, path or scratch_path(spark, "fingerprints"), 0
         self.runs: list[DataFrame] = []
 
-    def _write(self, counts: DataFrame) -> DataFrame:
+    def _write(self, places: DataFrame) -> DataFrame:
         at = f"{self.path}/run-{self.made:05d}"
         self.made += 1
-        counts.sortWithinPartitions("fp").write.parquet(at)
-        return self.spark.read.schema("fp long, n long").parquet(at)
+        places.sortWithinPartitions("fp").write.parquet(at)
+        return self.spark.read.schema(RUN).parquet(at)
 
     def add(self, docs: DataFrame) -> None:
         """Add a batch of documents as a run, and merge the runs if there are many."""
-        self.runs.append(self._write(fingerprints(docs).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))))
+        bounded_batches(self.spark)
+        zipped(docs).write.mode("append").parquet(f"{self.path}/texts")
+        self.runs.append(self._write(fingerprints(docs).select("fp", "key", "pos", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"))))
         if len(self.runs) > FANOUT:
             self.compact()
 
+    def texts(self) -> DataFrame:
+        """(doc_id, key, z) of all rows that were added."""
+        return self.spark.read.schema(ZIPPED).parquet(f"{self.path}/texts")
+
+    def places(self) -> DataFrame:
+        """The rows of all runs; a text that came in several batches has some in each."""
+        return reduce(DataFrame.unionByName, self.runs)
+
     def counts(self) -> DataFrame:
-        if len(self.runs) == 1:
-            return self.runs[0]
-        return reduce(DataFrame.unionByName, self.runs).groupBy("fp").agg(F.sum("n").alias("n"))
+        return self.places().groupBy("fp").agg(F.sum("copies").alias("n"))
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones go when it is written."""
         if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._write(self.counts())]
+            merged = self.places().groupBy("fp", "key", "pos").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"))
+            old, self.runs = self.runs, [self._write(merged)]
             dropped(*old)
 
     def repeated(self) -> DataFrame:
@@ -146,11 +173,6 @@ class Index:
         return self.counts().where("n > 1")
 
 
-def _zipped(hasher: Hasher, row: tuple) -> list[tuple]:
-    raw = (row[1] or "").encode()
-    return [(row[0], _text_key(raw), zstandard.compress(raw, 1))]
-
-
 def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
     """(fp, n, key, firsts, copies, windows) of the runs of a text whose selected gram is among the candidates.
 
@@ -264,23 +286,22 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (kept words, one space between; null unless ``with_text``).
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged. A word goes if a window of 35
-    consecutive words over it starts anywhere else as well, in this or any other row; windows are those of the input.
-    ``index`` must hold the same rows, added in any number of batches.
+    consecutive words over it starts anywhere else as well, in this or any other row that was added to ``index``; windows
+    are those of the input. ``index`` must hold the rows of ``docs``, added in any number of batches, and may hold any
+    others: to judge a new batch against all before it, add it, then call this with the batch alone.
 
     A null or empty text has no words; texts of fewer than 35 words have no window and stay whole. A null doc_id stays
     null. Repeated rows are occurrences of their own, so all their windows go. No row gives no rows. Other columns are
     ignored.
     """
     bounded_batches(docs.sparkSession)
-    found = fingerprints(docs).join(index.repeated(), "fp")
-    # The rows of one text are counted here, and one of them speaks for all.
-    at = found.groupBy("key", "pos", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    wanted = index.repeated().join(fingerprints(docs).select("fp").distinct(), "fp", "left_semi")
+    # The rows of one text, of all batches, are counted here, and one of them speaks for all.
+    at = index.places().join(wanted, "fp").groupBy("key", "pos", "n").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"))
     # Written, so that the join reads it as it is: Spark splits the copies of a text only between two plain shuffles.
     places = written(at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places")), "places")
-    z_types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
-    texts = docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, z_types), "doc_id long, key long, z binary")
     w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
-    joined = texts.join(places, "key").select("doc_id", "key", "z", "spokesman", "places")
+    joined = index.texts().join(places, "key").select("doc_id", "key", "z", "spokesman", "places")
     runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, firsts array<int>, copies long, windows array<long>")
     # By fingerprint, but heavy ones are spread; these go another way after this.
     runs = runs.repartition(F.when(F.col("n") > HEAVY, F.xxhash64("key", F.col("firsts")[0])).otherwise(F.col("fp"))).sortWithinPartitions("fp")
@@ -289,12 +310,11 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     heavy = _heavy(judged.where("mask is null").select("fp", "key", "firsts", "copies", "windows"))
     flags = written(light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("firsts", "mask", "head")).alias("flags")), "flags")
     o_types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    return texts.join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return zipped(docs).join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def indexed(docs: DataFrame, batches: int = 2) -> Index:
     """An index of ``docs``, added in ``batches`` parts as they would arrive, and merged."""
-    bounded_batches(docs.sparkSession)
     index = Index(docs.sparkSession)
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == i))

@@ -147,6 +147,30 @@ def test_repeats(spark, monkeypatch, heavy):
     assert Counter(tuple(r)[:4] for r in out) == brute_repeats(rows) and all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_repeats_batch_by_batch(spark):
+    """Each batch is judged against all before it, without these being passed again."""
+    rows = corpus(4)
+    exact = " ".join(f"once{i}" for i in range(35))
+    # The passage stands once in the first batch and once in each later one; one text comes in all.
+    batches = [[*rows[i::3], (7000 + i, f"a{i} {exact} z{i}"), (7100 + i, exact + " copy")] for i in range(3)]
+    index, so_far = sd.Index(spark), []
+    for batch in batches:
+        so_far += batch
+        df = clashing(spark.createDataFrame(batch, DDL))
+        index.add(df)
+        got = Counter(tuple(r)[:4] for r in sd.remove_repeats(df, index).collect())
+        want, ids = brute_repeats(so_far), Counter(d for d, _ in batch)
+        split = {(d, len((t or "").split())) for d, t in batch}
+        assert sum(got.values()) == len(batch) and set(got) == {r for r in want if r[:2] in split} and Counter({d: sum(n for r, n in got.items() if r[0] == d) for d in ids}) == ids
+    last = {r.doc_id: r.n_removed for r in sd.remove_repeats(spark.createDataFrame([(8000, exact)], DDL), _with(index, spark, [(8000, exact)])).collect()}
+    assert last == {8000: 35}
+
+
+def _with(index, spark, rows):
+    index.add(spark.createDataFrame(rows, DDL))
+    return index
+
+
 def test_repeats_of_nothing_and_one(spark):
     none = spark.createDataFrame([], DDL)
     assert sd.remove_repeats(none, sd.indexed(none)).count() == 0
