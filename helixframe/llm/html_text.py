@@ -61,8 +61,9 @@ MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp
 LISTS = frozenset("ul ol menu dir".split())
 #: Cells are padded to their column's width, up to this many characters.
 WIDEST = 60
-#: A table that would take more characters than this, and most of them padding, is written cell below cell.
-MOST_PADDED = 1 << 20
+#: Of a table that would take more characters than the first, and most of them padding, those rows are written without
+#: padding that would take more than the second for each line of their cells.
+MOST_PADDED, LINE_PADDED = 1 << 20, 1 << 10
 
 NAME = re.compile(r"[^\s/>]+")
 #: The rest of a tag: attributes with quoted values that may hold ">".
@@ -260,7 +261,12 @@ def _span(node: Node, name: str) -> int:
 
 
 def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """The lines of a table whose rows hold (lines, colspan, rowspan) of each cell."""
+    """The lines of a table whose rows hold (lines, colspan, rowspan) of each cell.
+
+    A table of any number of rows has its cells aligned, if its lines have up to some 1000 characters. In a wider and
+    sparse one of more than 2^20, rows that are nearly all padding are written without: cells of a line each on one line,
+    two spaces between them; else (a cell of many lines far to the right) cell below cell.
+    """
     taken: dict[int, int] = {}  # column: rows that a cell from above still covers
     grid: list[list[tuple[int, int, list[str]]]] = []
     width: dict[int, int] = {}
@@ -278,11 +284,14 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             col += across
         grid.append(placed)
     height = [max((len(lines) for _, _, lines in placed), default=0) for placed in grid]
-    whole = sum(h * (sum(width.get(c, 0) + 2 for c in range(placed[-1][0] + placed[-1][1])) if placed else 0) for h, placed in zip(height, grid, strict=True))
-    if whole > MOST_PADDED and whole > 4 * sum(len(x) for placed in grid for _, _, lines in placed for x in lines):
-        return [x for placed in grid for _, _, lines in placed for x in lines]
+    size = [h * (sum(width.get(c, 0) + 2 for c in range(placed[-1][0] + placed[-1][1])) if placed else 0) for h, placed in zip(height, grid, strict=True)]
+    whole = sum(size)
+    sparse = whole > MOST_PADDED and whole > 4 * sum(len(x) for placed in grid for _, _, lines in placed for x in lines)
     out = []
-    for placed in grid:
+    for placed, high, n in zip(grid, height, size, strict=True):
+        if sparse and n > LINE_PADDED * sum(max(len(lines), 1) for _, _, lines in placed):
+            out.extend((x for _, _, lines in placed for x in lines) if high > 1 else ["  ".join(x for _, _, lines in placed for x in lines)])
+            continue
         for i in range(max((len(lines) for _, _, lines in placed), default=0)):
             line, edge = [], 0
             for col, across, lines in placed:

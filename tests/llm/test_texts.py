@@ -162,6 +162,17 @@ def test_html(spark):
     assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_rows_stay_together_at_any_size():
+    for rows in (3000, 6000):  # 0.7 and 1.4 million characters, most of them padding
+        cells = ["a" * 22, *["b"] * 9]
+        page = "<table>" + "".join("<tr>" + "".join("<td>" + cells[(c - r) % 10] for c in range(10)) for r in range(rows)) + "</table>"
+        lines = html_text.rendered(html_text.parsed(page)).split("\n")
+        assert len(lines) == rows and all([x[24 * c : 24 * c + 24].rstrip() for c in range(10)] == [cells[(c - r) % 10] for c in range(10)] for r, x in enumerate(lines))
+    head = "<table><tr>" + ("<td>" + "h" * 50) * 100
+    sparse = html_text.rendered(html_text.parsed(head + ("<tr><td>x<td colspan=98><td>y") * 900 + "</table>")).split("\n")
+    assert len(sparse) == 901 and all(x.split() == ["x", "y"] for x in sparse[1:])
+
+
 def luhn(number):
     d = [int(c) for c in number if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
