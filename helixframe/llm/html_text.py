@@ -52,11 +52,16 @@ IMPLIED_ENDS = {
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
 IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
 CELL_WALLS = frozenset("td th caption".split())
-HIDDEN = frozenset("head title script style template noembed noframes iframe datalist rp param object audio video canvas svg math".split())
+HIDDEN = frozenset("head title script style template noembed noframes iframe datalist rp param object audio video canvas".split())
+#: What browsers don't draw inside svg and math.
+HIDDEN_FOREIGN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 #: Blank lines around blocks; elements not named are inline.
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp figure table fieldset hr".split(), 1) | dict.fromkeys(
     "html body address article aside center details dialog div dd dt figcaption footer form header hgroup legend li main nav optgroup option"
-    " section select summary textarea caption".split(), 0
+    " section select summary textarea text caption".split(), 0
 )
 LISTS = frozenset("ul ol menu dir".split())
 #: Cells are padded to their column's width, up to this many characters.
@@ -70,14 +75,16 @@ NAME = re.compile(r"[^\s/>]+")
 REST = re.compile(r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s>]*+|["'])*+>""")
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"[ \t\n\f\r]+")
+#: An attribute without quotes that ends in a slash; the tag doesn't end itself then.
+BARE_SLASH = re.compile(r"""=\s*[^\s"'>][^\s>]*/\Z""")
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "drawn", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.drawn = tag, attrs, [], True
 
     def attributes(self) -> dict[str, str]:
         found: dict[str, str] = {}
@@ -88,9 +95,14 @@ class Node:
         return found
 
 
+def ends_itself(attrs: str) -> bool:
+    """Whether a tag inside svg or math is its own end tag."""
+    return attrs.endswith("/") and not BARE_SLASH.search(attrs)
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", "", characters), ("start", name, attributes) and ("end", name, "") in order; comments and declarations go."""
-    at, n = 0, len(html)
+    at, n, foreign = 0, len(html), 0
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -105,9 +117,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             name = name_at.group().lower()
             rest = REST.match(html, name_at.end())
             close = rest.end() if rest else html.find(">", name_at.end()) + 1 or n
-            yield ("end" if end else "start"), name, "" if end else html[name_at.end() : close - 1]
+            attrs = "" if end else html[name_at.end() : close - 1]
+            yield ("end" if end else "start"), name, attrs
             at = close
-            if not end and (name in RAW or name in RAW_ESCAPED):
+            if name in HIDDEN_FOREIGN:
+                foreign = max(foreign + (-1 if end else not ends_itself(attrs)), 0)
+            if not end and (name in RAW or name in RAW_ESCAPED) and not (foreign and ends_itself(attrs)):
                 stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
                 to = stop.start() if stop else n
                 yield "raw", name, html[at:to]
@@ -186,7 +201,9 @@ def parsed(html: str) -> Node:
             elif name == "a" and count["a"]:
                 close({"a"}, {"td", "th", "caption", "table"})
             node = Node(name, data)
-            if name in VOID:
+            inside = [f for f in HIDDEN_FOREIGN if count[f]]
+            node.drawn = not any(name in HIDDEN_FOREIGN[f] for f in inside)
+            if name in VOID or (inside or name in HIDDEN_FOREIGN) and ends_itself(data):
                 add(node, name not in IN_TABLE)
             else:
                 push(node, name not in IN_TABLE)
@@ -343,7 +360,7 @@ def rendered(root: Node) -> str:
                 lists.pop()
             page.block(MARGIN[tag] if tag not in LISTS or not lists else 0)
             continue
-        if tag in HIDDEN:
+        if tag in HIDDEN or not node.drawn:
             continue
         if node.attrs and ("hidden" in node.attrs.lower() or "style" in node.attrs.lower() or tag == "input"):
             attrs = node.attributes()
@@ -405,9 +422,9 @@ def rendered(root: Node) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text and n_lines of each row of ``pages`` (page_id, html).
 
-    Text that no rule hides is kept: not in head, scripts, styles, templates, closed details or under the attributes
-    hidden, display:none and visibility:hidden (unless made visible again). A null or empty html, or one without visible
-    text, gives an empty text of no lines. Malformed markup is read as far as it goes. A null page_id stays null;
+    Text that no rule hides is kept, also labels in svg and formulas in MathML: not in head, scripts, styles, templates,
+    closed details or under the attributes hidden, display:none and visibility:hidden (unless made visible again); nor
+    titles, definitions and annotations in svg and MathML. A null or empty html, or one without visible text, gives an empty text of no lines. Malformed markup is read as far as it goes. A null page_id stays null;
     repeated rows are rendered once each; no row gives no rows. Other columns are ignored.
     """
     bounded_batches(pages.sparkSession)

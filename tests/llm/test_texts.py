@@ -162,6 +162,18 @@ def test_html(spark):
     assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_svg_and_formulas():
+    pages = {
+        "<p>a<svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text x=1>Q1</text><text>Q2 <tspan>up</tspan></text></svg><p>b": "a\nQ1\nQ2 up\n\nb",
+        "<svg><style/><defs/><title/><text>seen</text></svg>z": "seen\nz",
+        "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>no</annotation></semantics></math> holds": "so x=2 holds",
+        "<svg/><desc>out</desc><svg hidden><text>no</text></svg>!": "out!",
+        "<svg><a href=x/><text>in</text></a></svg>": "in",
+    }
+    for html, text in pages.items():
+        assert html_text.rendered(html_text.parsed(html)) == text, html
+
+
 def test_rows_stay_together_at_any_size():
     for rows in (3000, 6000):  # 0.7 and 1.4 million characters, most of them padding
         cells = ["a" * 22, *["b"] * 9]
