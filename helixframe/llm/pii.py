@@ -83,9 +83,16 @@ def _script(word: Column) -> Column:
 
 
 def _reshaped(text: Column, draw: Column) -> Column:
-    """Letters for letters and digits for digits, all else as it is."""
-    swap = lambda c, i: F.when(c.rlike(r"\p{N}"), _drawn(draw, i, 10).cast("string")).when(c.rlike(r"\p{L}"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _drawn(draw, i, 26) + 1, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.split(text, ""), swap), "")
+    """Letters for letters and digits for digits, all else as it is; hyphens, where there is neither.
+
+    With the number of draws letters are added, so that short texts don't run out.
+    """
+    letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _drawn(draw, i, 26) + 1, F.lit(1))
+    bare = ~text.rlike(r"[\p{L}\p{N}]")
+    more = F.floor(F.col("a") / 4).cast("int")
+    swap = lambda c, i: F.when(c.rlike(r"\p{N}"), _drawn(draw, i, 10).cast("string")).when(c.rlike(r"\p{L}") | (bare & (c == "-")), letter(i)).otherwise(c)
+    added = F.transform(F.slice(F.sequence(F.lit(0), more), F.lit(1), more), lambda i: letter(i + F.length(text)))
+    return F.array_join(F.concat(F.transform(F.split(text, ""), swap), added), "")
 
 
 def _syllable(draw: Column, consonants: str, vowels: str) -> Callable[[Column], Column]:
@@ -106,9 +113,10 @@ def _surrogate() -> Column:
     body = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.when(i == 0, old(i)).otherwise(digit(i)))
     card = F.array_append(body, (10 - _luhn_sum(body, n) % 10) % 10)
     rest = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (_drawn(draw, i, 254) + 1).cast("string"))
+    # A private range that is used up gives way to a larger one, and that to the public ones.
     ip = (
-        F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), rest))
-        .when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192"), F.lit("168"), F.slice(rest, 1, 2)))
+        F.when(canon.startswith("192.168.") & (F.col("a") < 8), F.concat_ws(".", F.lit("192"), F.lit("168"), F.slice(rest, 1, 2)))
+        .when((canon.startswith("10.") | canon.startswith("192.168.")) & (F.col("a") < 24), F.concat_ws(".", F.lit("10"), rest))
         .otherwise(F.concat_ws(".", (_drawn(draw, F.lit(0), 80) + 11).cast("string"), rest))
     )
     local = _reshaped(F.substring_index(canon, "@", 1), draw)
@@ -167,7 +175,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     ``key`` is the secret that the surrogates are drawn with; another key gives others. A null text stays null and an
     empty one empty, with no entities; null ids are no matter; a text that repeats is changed alike each time; no row
     gives no rows. All columns are passed on; a column called n_entities is replaced. If a kind has more entities than
-    its surrogates can tell apart (for telephone numbers, some billions), this fails rather than let two coincide.
+    its surrogates can tell apart (for telephone numbers of ten digits and more, some billions; shorter ones keep their
+    length, so half of all with that many digits), this fails rather than let two coincide.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
     # Rows travel as one column each, so that no name of theirs meets another.

@@ -223,6 +223,25 @@ def test_surrogates_that_meet_are_drawn_again(spark):
     assert len(set(got)) == len(real) and not set(got) & set(real) and all(x.startswith("192.168.") for x in got)
 
 
+def test_surrogates_leave_spaces_that_are_used_up(spark):
+    masked = ["john@---.com", "ann@--.com", "x@-.-.com", "-@y-z.org", "+@y-z.org"]
+    short = [f"{a}@{b}.de" for a in "ab" for b in "abcdefghijklmnopqrstuvwxyz"]
+    real = masked + short + [f"{a}@same.fr" for a in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(1, " ".join(real))], DDL)
+    got = pii.pseudonymised(df, "k").first().text.split()
+    assert len(got) == len(set(got)) == len(real) and not set(got) & set(real)
+    assert len({x.split("@")[1] for x in got}) == len({x.split("@")[1] for x in real})
+
+
+def test_private_addresses_leave_their_range_after_some_draws(spark):
+    rows = [(c, a) for c in ("192.168.1.2", "10.1.2.3") for a in (0, 7, 8, 23, 24)]
+    df = spark.createDataFrame(rows, "canon string, a int").withColumns({"kind": F.lit("ip"), "domain": F.lit(""), "draw": F.sha2("canon", 256)})
+    got = {(r.canon, r.a): r.s for r in df.select("canon", "a", pii._surrogate().alias("s")).collect()}
+    for c, a in rows:
+        start = "192.168." if c.startswith("192") and a < 8 else "10." if a < 24 else ""
+        assert got[c, a].startswith(start) and got[c, a].count(".") == 3 and (start or not got[c, a].startswith(("10.", "192.168.")))
+
+
 def test_long_runs_of_what_mentions_are_made_of(spark):
     runs = ["x@" + "a." * 100_000, "x@" + "a" * 200_000 + ".", "1" * 200_000, "1.2." * 50_000, "+1 (" * 50_000, "Mr. " * 50_000 + "John", "A" * 200_000, "12-" * 60_000, "." * 200_000 + "@" * 1000]
     df = spark.createDataFrame(list(enumerate(runs)), DDL)
