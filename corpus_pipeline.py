@@ -16,8 +16,9 @@ from helixframe.llm._common import table, written
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those without a letter go. The model is fitted on the labelled part."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.identify(docs, model, columns=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    # Rows travel as one column each, so that no name of theirs meets another.
+    found = language.identify(docs.select("text", F.struct(*docs.columns).alias("row")), model, columns=("row",))
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,6 +342,14 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in ids) == left[3] and all(r.n == r.t for r in ids)
 
 
+def test_language_stage_with_names_of_results(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some plain words here", "en") for i in range(9)] + [(9, "12 %", "en")], "doc_id long, text string, lang string")
+    for c in ("lang_pred", "score", "n_words", "spans", "row", "__text"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = corpus_pipeline.known_language(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.where("score = 'clash' and lang_pred = 'clash'").collect()) == list(range(9))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_query(spark, name):
