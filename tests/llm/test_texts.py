@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -38,7 +39,6 @@ def test_pack_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     rows = packing.pack(odd(spark), vocabulary(), max_len=64).collect()
     assert all(r.bucket == r.length == len(r.ids) and r.offset == 0 for r in rows) and len({r.sequence_id for r in rows}) == len(rows)
     by = {}
@@ -55,6 +55,18 @@ def test_pack_against_the_tokenizer(spark):
         packing.pack(empty(spark), vocabulary(), max_len=100)
 
 
+def test_ids_of_long_runs_and_added_tokens():
+    from tokenizers import Tokenizer
+
+    tok, encode, n = Tokenizer.from_file(vocabulary()), packing.encoder(vocabulary()), packing.LONG_SPACE
+    ends = ("", "a", " a", "'s", "\n", "<|endoftext|>", "<|endoftext|> x", "!")
+    texts = [a + run + b for run in (" " * n, "\n" * n, " \n\u3000\xa0" * (n // 3), " " * (n - 1), "\t" * n + " ") for a in ("", "x", "<|endoftext|>") for b in ends]
+    texts += ["hi <|endoftext|> there", "<|endoftext|><|endoftext|>", "<|endoftext", "a" + " " * n + "b" + "\n" * n + " c", "\x1c" * 50 + "a", "a \x1f b\u200b c\u180e"]
+    texts += [" " * 2_000_000 + "end", "\n" * 2_000_000, "a " * 1_000_000, "!" * 50_000, "1" * 50_000]
+    for t in texts:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids, (t[:20], len(t), t[-20:])
+
+
 def greedy(word, initial, inner):
     at, n = 0, 0
     while at < len(word):
@@ -152,7 +164,7 @@ def test_html(spark):
     for html, text in PAGES.items():
         assert html_text.rendered(html_text.parsed(html)) == text, html
     tall = "<table><tr>" + "<td>cell" * 5000 + "<td>" + "a<br>" * 5000 + "</table>"
-    assert html_text.rendered(html_text.parsed(tall)).count("\n") == 9999
+    assert html_text.rendered(html_text.parsed(tall)).count("\n") == 4999  # all in one row
     deep = "<div><ul><li><b>" * 5000 + "deep"
     assert html_text.rendered(html_text.parsed(deep)).endswith("deep")
     rows = [(1, None), (2, ""), (None, "<p>a"), (4, "<p>a"), (4, "<p>a"), (5, "<b>" * 100_000 + "x"), (6, "<p>" + "w " * 100_000)]
@@ -185,6 +197,78 @@ def test_rows_stay_together_at_any_size():
     assert len(sparse) == 901 and all(x.split() == ["x", "y"] for x in sparse[1:])
 
 
+def test_cells_are_wrapped_beside_others():
+    long = " ".join(f"word{i}" for i in range(40))
+    got = html_text.rendered(html_text.parsed(f"<table><tr><td>{long}<td>b<td>c<tr><td>x<td>{long}<tr><td>y<td>d<td>{'u' * 90}</table>")).split("\n")
+    assert got[0].split()[-2:] == ["b", "c"] and len(got) == 6 and all(len(x) <= 80 for x in got[1:4]) and got[4].endswith(long)
+    at = got[0].index("  b") + 2
+    assert got[4].index("word0") == got[5].index("d") == at <= 82 and got[5].index("u") == got[0].index("c")
+
+
+def test_spans_of_any_kind():
+    for span in ("\u00b2", "9" * 5000, "x", "-3", " 2", "0", "\u0663"):
+        for name in ("colspan", "rowspan"):
+            assert html_text.rendered(html_text.parsed(f"<table><tr><td {name}='{span}'>a<td>b<tr><td>c")).split()[:2] == ["a", "b"]
+    tall = "<table><tr><td rowspan=300>a<td>b" + "<tr><td>c" * 299 + "<tr><td>d<td>e</table>"
+    assert html_text.rendered(html_text.parsed(tall)).split("\n")[1:] == ["   c"] * 299 + ["d  e"]
+
+
+def test_rules_of_style_sheets():
+    css = "<style>.x{display:none} #y, p.z {visibility:hidden}; @media print {.p{display:none}} /* .q{display:none} */ .k{display:none !important} h6 , .deep > b{display:none} @font-face{display:none}</style><style media=print>.p{display:none}</style>"
+    body = "<p class=x>no<p id=y>no<p class=z>no<i style='visibility:visible'>a</i><div class=z>b</div><p class='p q'>c<p class='j k' style='display:block'>no<p class=x style='display:block'>d<h6>no</h6><p hidden style='display:block'>e<p hidden>no"
+    assert html_text.rendered(html_text.parsed(css + body)) == "a\n\nb\n\nc\n\nd\n\ne"
+    assert html_text.rendered(html_text.parsed("<style>p{display:none}p{display:block}.a{display:none}.a{</style><p>x<p class=a>no<svg><style>q{display:none}</style></svg><q>no</q>")) == "x"
+
+
+HOSTILE = {
+    "button": lambda n: "<p><button>" + "<div>" * n, "walls": lambda n: "<b><table><td>" + "<i>" * n + "</b>" * n, "lists": lambda n: "<ul><li>x" * n, "items": lambda n: "<ul><li>" * n,
+    "tables": lambda n: "<table><tr><td>x" * n, "rows": lambda n: "<table><tr>" + "".join(f"<td rowspan={60000 - i}>a" for i in range(n)) + "<tr><td>b" * n, "columns": lambda n: "<table><tr>" + "<td colspan=1000>a" * n,
+    "tall": lambda n: "<table><tr>" + "<td>cell" * n + "<td>" + "a<br>" * n + "</table>", "wide": lambda n: "<table><tr><td>" + "w" * n + "<td>x" + "<tr><td>a<td>b" * n, "slash": lambda n: "<svg><a " + "=a" * n + " />",
+    "rules": lambda n: "<style>" + ".x{display:none}" * n + "</style>" + "<p class=x>a" * n, "foster": lambda n: "<table>" + "<b>x" * n, "ends": lambda n: "<p>" * n + "</div>" * n, "open": lambda n: "<a <" * n, "quotes": lambda n: "<a b='><a c=\">" * n,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_time_grows_with_the_page(name):
+    def seconds(n):
+        start = time.process_time()
+        html_text.rendered(html_text.parsed(HOSTILE[name](n)))
+        return time.process_time() - start
+
+    assert min(seconds(12_000) for _ in range(2)) <= 8 * max(seconds(3000), 0.05)  # four times the page; the square would be 16
+
+
+def tree(rng, depth, visible, kept):
+    """A random page as html; the words that are seen go to ``kept``, in order."""
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        k = rng.random()
+        if k < 0.5 or not depth:
+            w = f"w{rng.randrange(10**9)}"
+            out.append(rng.choice((" ", "\n", " <br> ")) + w + " ")
+            if visible:
+                kept.append(w)
+            continue
+        tag = rng.choice("div p span b i ul section pre em h2 blockquote".split())
+        attr, seen = rng.choice((("", visible), ("", visible), (" hidden", False), (" style='display:none'", False), (" class='a off'", False), (" id=off2", False), (" class=on title='hidden'", visible)))
+        inner = tree(rng, 0 if tag in ("p", "h2", "pre") else depth - 1, seen, kept)
+        out.append(f"<{tag}{attr}>" + (f"<li>{inner}</li>" if tag == "ul" else inner) + f"</{tag}>")
+    return "".join(out)
+
+
+def test_all_visible_text_and_no_other():
+    rng = random.Random(21)
+    for _ in range(200):
+        kept = []
+        page = "<style>.off,#off2{display:none}</style>" + "".join(tree(rng, 4, True, kept) for _ in range(3))
+        assert [x for x in html_text.rendered(html_text.parsed(page)).split() if x != "-"] == kept, page
+    for _ in range(50):  # the same in cells, whose lines stand side by side
+        kept = []
+        rows = [[tree(rng, 2, True, kept) for _ in range(rng.randrange(1, 4))] for _ in range(4)]
+        page = "<style>.off,#off2{display:none}</style><table>" + "".join("<tr>" + "".join(f"<td rowspan={rng.randrange(1, 3)} colspan={rng.randrange(1, 3)}>{c}" for c in r) for r in rows) + "</table>"
+        assert sorted([x for x in html_text.rendered(html_text.parsed(page)).split() if x != "-"]) == sorted(kept), page
+
+
 def luhn(number):
     d = [int(c) for c in number if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
