@@ -6,10 +6,11 @@ They are found without counting all collisions: the pairs of a set are put in or
 in MATCHES places must meet in the prefixes that leave out the MATCHES - 1 most frequent ones. Only prefixes are
 joined; the skipped, frequent lists are merged against for the pairs met there. What remains is confirmed on full sets.
 
-A posting list can hold a third of the corpus, and one pair can meet in dozens of lists, so pairs are not written out.
-Every set goes to one home, the longest of its lists, and visits the homes of those it meets elsewhere; a home with many
-sets is dealt out as pairs of blocks of bounded size. Inside such a cell all pairs are compared at once, and only links
-that connect something new are given back. Components of these links are those of all links.
+A posting list can hold a third of the corpus, and its pairs are never written out. In each round the sets of a list
+meet one of their number only, its lead; collisions of these pairs are counted, those above the threshold confirmed, and
+linked sets contracted. Lists whose sets are all connected are done with. The sets of lists that stay open, of which no
+lead told all, are compared exactly: they are posted once more, under the rarest of their shingles, as few of them as
+any set similar enough must share. Components of the links that are found are those of all links.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from helixframe.llm.components import components
 SHINGLE, COORDINATES, MATCHES = 5, 64, 30
 #: Similarity in hundredths from which two documents are linked.
 SIMILARITY = 75
-#: Sets and shingles of a block, and columns that a cell's sets are multiplied by at a time.
-BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
-#: Parts that the sets of a home of several blocks are dealt to, where they learn of the number of blocks.
-SALT = 64
+#: Rounds in which the sets of a list meet its lead, before what is open is compared by shingles. Any number, none
+#: included, gives the same components.
+ROUNDS = 2
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,86 +106,100 @@ def _sets(cid: int, keys: list[int], z: bytes) -> tuple:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(key, cid) of the prefixes of all signatures that can have a partner."""
+    """(key, cid, size, common) of the prefixes of all signatures that can have a partner; common: how many its keys reach."""
     posted = classes.select("cid", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lists = posted.join(shared, "key").groupBy("cid").agg(F.collect_list(F.struct("n", "key")).alias("l")).where(F.size("l") >= MATCHES)
     # Pairs that nobody shares stand first in the order and need no posting, so the prefix is that much shorter.
     prefix = F.slice(F.array_sort("l"), F.lit(1), F.size("l") - (MATCHES - 1))
-    return lists.select("cid", F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "cid")
-
-
-def _cell(cell: pa.Table) -> pa.Table:
-    """(u, v) of links that connect the sets of a cell, where both are in different sides (if it has two) and one is at home."""
-    ids, home, side = (cell[c].to_numpy() for c in ("cid", "at_home", "side"))
-    first = np.unique(ids, return_index=True)[1]  # a repeated row brings its set again
-    ids, home, side = ids[first], home[first], side[first]
-    cell = cell.take(pa.array(first))
-    keys = cell["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
-    lists = cell["shingles"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    _, column, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(ids)), sizes)
-    # Columns of shingles that only one set has add nothing.
-    place = np.cumsum(often > 1) - 1
-    shared = often[column] > 1
-    row, column = row[shared], place[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (start, start + COLUMNS))
-        m = np.zeros((len(ids), min(COLUMNS, int(column[-1]) + 1 - start)), dtype=np.float32)
-        m[row[a:b], column[a:b] - start] = 1
-        both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = np.triu(both * 100 >= union * SIMILARITY, 1) & (home[:, None] | home[None, :])
-    if side.any() and not side.all():
-        linked &= side[:, None] != side[None, :]
-    leads, out = list(range(len(ids))), []
-    for i, j in np.argwhere(linked).tolist():
-        if (keys[i] == keys[j]).sum() < MATCHES:
-            continue
-        x, y = i, j
-        while leads[x] != x:
-            leads[x] = x = leads[leads[x]]
-        while leads[y] != y:
-            leads[y] = y = leads[leads[y]]
-        if x != y:
-            leads[max(x, y)] = min(x, y)
-            out.append((int(ids[i]), int(ids[j])))
-    u, v = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    common = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    sizes = classes.select("cid", F.col("n_shingles").alias("size"))
+    rows = lists.join(sizes, "cid").select("cid", "size", common.alias("common"), F.explode(prefix).alias("p"))
+    return rows.select(F.col("p.key").alias("key"), "cid", "size", "common")
+
+
+def _open_lists(posts: DataFrame, *leads: Column) -> DataFrame:
+    """(key, leads) of the lists that hold sets of several components."""
+    lists = posts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *leads)
+    return lists.where("low <> high").drop("low", "high")
+
+
+def _similar_sizes(a: Column, b: Column) -> Column:
+    return (a * 100 >= b * SIMILARITY) & (b * 100 >= a * SIMILARITY)
+
+
+def _least_common(a: Column, b: Column) -> Column:
+    """How many shingles sets of these sizes have in common at least if they are linked."""
+    return F.ceil((a + b) * SIMILARITY / (100 + SIMILARITY))
+
+
+def _met_leads(posts: DataFrame, rank: Column) -> DataFrame:
+    """(u, v) of the sets in open lists and the leads that they meet: of each list the set of the highest rank."""
+    lead = F.max(F.struct(rank.alias("rank"), "cid", "component", "size")).alias("lead")
+    met = posts.join(_open_lists(posts, lead), "key").where((F.col("component") != F.col("lead.component")) & _similar_sizes(F.col("size"), F.col("lead.size")))
+    return met.select(F.col("cid").alias("u"), F.col("lead.cid").alias("v")).distinct()
+
+
+def _met_shingles(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of sets of open lists that share one of their rarest shingles, as all linked ones of two components do.
+
+    Shingles are in one order for all sets: first those of one component only, which no pair has in common, then by
+    their number. Linked sets have so many in common that the first of these stands early in both.
+    """
+    cids = posts.join(_open_lists(posts), "key", "left_semi").select("cid", "component").distinct()
+    each = sets.join(cids, "cid").select("cid", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g", "n")
+    lists = each.join(often, "g").groupBy("cid").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "g"))).alias("l"))
+    own, before = F.col("size"), F.col("size") - F.size("l")
+    lists = lists.select("cid", "component", "size", before.alias("before"), F.posexplode(F.slice("l", F.lit(1), F.greatest(own - F.ceil(own * SIMILARITY / 100) + 1 - before, F.lit(0)).cast("int"))).alias("i", "p"))
+    placed = written(lists.select(F.col("p.g").alias("g"), "cid", "component", "size", (F.col("size") - F.col("before") - F.col("i")).alias("left")), "rarest")
+    # The smaller of two sets need be posted with fewer: its partner is no smaller.
+    less = placed.where(F.col("left") >= _least_common(own, own)).select("g", *(F.col(c).alias(f"{c}2") for c in ("cid", "component", "size", "left")))
+    need = _least_common(F.col("size"), F.col("size2"))
+    pairs = placed.join(less, "g").where(
+        (F.col("component") != F.col("component2"))
+        & ((F.col("size2") < F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("cid2") < F.col("cid"))))
+        & (F.col("left") >= need) & (F.col("left2") >= need)
+    )
+    return pairs.select(F.col("cid").alias("u"), F.col("cid2").alias("v")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs that agree in ``least`` coordinates and whose sets are similar enough."""
+    one, other = (sets.select(F.col("cid").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+    both = pairs.join(one, "u").join(other, "v")
+    if least:
+        both = both.where(F.size(F.array_intersect("u_keys", "v_keys")) >= least)
+    same = F.size(F.array_intersect("u_set", "v_set"))
+    return both.where(same >= _least_common(F.size("u_set"), F.size("v_set"))).select("u", "v")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v) that connect the classes of equal sets as all links do; ``classes``: cid, doc_id, text_key, n_shingles, keys."""
-    posts = written(_postings(classes), "postings")
-    size = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_posts = posts.join(size, "key")
-    homes = written(open_posts.groupBy("cid").agg(F.max(F.struct("n", "key")).alias("most")).select("cid", F.col("most.key").alias("home")), "homes")
-    # Of two homes whose sets meet in a list, the sets of the one with the larger key visit the other.
-    placed = open_posts.join(homes, "cid").select("key", "cid", "home")
-    hosts = placed.select("key", F.col("home").alias("host")).distinct()
-    visits = placed.join(hosts, "key").where("host < home").select("cid", F.col("host").alias("home")).distinct()
-
-    wanted = classes.join(homes, "cid", "left_semi").select("cid", F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "keys")
+    posts = written(_postings(classes), "postings").withColumn("component", F.col("cid"))
+    posts = written(posts.join(_open_lists(posts), "key", "left_semi"), "postings")
+    wanted = classes.join(posts.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "keys")
     texts = docs.select("doc_id", "text").mapInArrow(_per_row(_packed, {"doc_id": pa.int64(), "text_key": pa.binary(), "z": pa.binary()}), "doc_id long, text_key binary, z binary")
-    found = texts.join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", "keys", "z")
+    # A row that is repeated as a whole brings its set once.
+    found = texts.join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("cid").agg(F.first("keys").alias("keys"), F.first("z").alias("z"))
     types = {"cid": pa.int64(), "keys": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
     sets = written(found.mapInArrow(_per_row(_sets, types), "cid long, keys array<long>, shingles array<long>"), "sets")
 
-    stays = homes.select("cid", "home", F.lit(True).alias("at_home")).unionByName(visits.select("cid", "home", F.lit(False).alias("at_home")))
-    stays = stays.join(classes.select("cid", "n_shingles"), "cid")
-    blocks = stays.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # Only homes of several blocks are joined, in parts, so that the sets of a large one don't meet in one task.
-    own = F.col("block")
-    several = blocks.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = stays.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit("salt")), F.lit(SALT)).cast("int")).join(several, ["home", "salt"], "left")
-    dealt = salted.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("home", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (own > F.col("other")).alias("side"), "cid", "at_home")
-    cells = dealt.join(sets, "cid").groupBy("home", "i", "j").applyInArrow(_cell, "u long, v long")
-    return written(cells, "links")
+    linked = None
+    for i in range(ROUNDS + 1):
+        if linked is not None:
+            member = components(linked)
+            at = posts.drop("component").join(member.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+            posts = written(at.join(_open_lists(at), "key", "left_semi"), "postings")
+        if i < ROUNDS:
+            # First the set whose pairs are the commonest, as that of which all others are copies is; then any.
+            pairs = _met_leads(posts, F.col("common") if not i else F.xxhash64("cid", F.lit(i)))
+            new = _confirmed(written(pairs, "pairs"), sets, MATCHES)
+        else:
+            new = _confirmed(written(_met_shingles(posts, sets), "pairs"), sets, 0)
+        new = written(new, "links")
+        linked = new if linked is None else linked.unionByName(new)
+    return linked
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,8 +213,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. A null doc_id is never the
     component's id unless no row of the component has one. Of rows with one doc_id and different texts each has its own
-    links. No row gives no rows. Other columns are ignored. A pair at the least similarity is overlooked with a chance
-    of about four in ten million, more similar ones with less.
+    links. No row gives no rows. Other columns are ignored. Texts of any length are taken whole; one task holds some 20
+    bytes for each of its words. A pair at the least similarity has a chance of about four in ten million to agree in
+    fewer than MATCHES coordinates, more similar ones less; such a pair is overlooked unless both have other partners.
     """
     bounded_batches(docs.sparkSession)
     types = {"doc_id": pa.int64(), "text_key": pa.binary(), "n_shingles": pa.int64(), "set_key": pa.binary(), "keys": pa.list_(pa.int64())}
