@@ -77,9 +77,10 @@ def brute_components(rows):
     return Counter((d, len(s), d if not s else least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates(spark, monkeypatch, block):
-    monkeypatch.setattr(nd, "BLOCK_SETS", block)
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_duplicates(spark, monkeypatch, rounds):
+    """Leads save work only: with all links found by shingles, or by leads first, the components are those of all pairs."""
+    monkeypatch.setattr(nd, "ROUNDS", rounds)
     rows = corpus()
     out = nd.near_duplicates(clashing(spark.createDataFrame(rows, DDL))).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
@@ -89,6 +90,39 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert kept.count() == len({c for c in comps}) and set(CLASH) - {"text"} <= set(kept.columns)
 
 
+def group_of_copies(n, seed=3):
+    """Copies of one text with edits, of which a third is not similar enough to any other; another text half of which is the same."""
+    rng = random.Random(seed)
+    base, out = words(rng, 150), []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**7)}"
+        out.append((i, " ".join(copy)))
+    return [*out, (n, " ".join(base[:75] + words(rng, 75)))]
+
+
+def test_work_on_a_group_of_near_copies_grows_with_its_size(spark, monkeypatch):
+    made = []
+
+    def counted(df, name, real=nd.written):
+        out = real(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nd, "written", counted)
+    sums = []
+    for n in (250, 500, 1000):
+        made.clear()
+        rows = group_of_copies(n)
+        out = nd.near_duplicates(spark.createDataFrame(rows, DDL)).collect()
+        sums.append(sum(k for _, k in made))
+        if n == 250:
+            assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
+            assert 30 < len({r.component_id for r in out}) < 150
+    assert sums[1] <= 2.2 * sums[0] and sums[2] <= 2.2 * sums[1]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert nd.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
     assert [tuple(r)[:4] for r in nd.near_duplicates(spark.createDataFrame([(3, None)], DDL)).collect()] == [(3, 0, 3, True)]
