@@ -14,14 +14,18 @@ BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows for the plans made from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Hold the session's Arrow batches to ``rows`` rows at most; a smaller bound, of another operator or the user, stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names; one of our own only where none is set and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -38,10 +42,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove all that operators of this session have written to the shared folder; results not yet saved go with it."""
-    while _made:
-        _removed(spark, _made.pop())
+def mark() -> int:
+    """Where the session stands, for cleanup(since=...)."""
+    return len(_made)
+
+
+def cleanup(spark: SparkSession, *, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove what operators of this session have written to the shared folder, but for the table ``keep``.
+
+    With ``since``, a mark(), only what came after it. Results not yet saved that read it go with it.
+    """
+    files = keep.inputFiles() if keep is not None else []
+    kept = [folder for folder in _made[since:] if any(folder.rsplit("/", 1)[-1] in f for f in files)]
+    for folder in _made[since:]:
+        if folder not in kept:
+            _removed(spark, folder)
+    _made[since:] = kept
 
 
 def _removed(spark: SparkSession, folder: str) -> None:

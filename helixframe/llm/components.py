@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from helixframe.llm._common import written
+from helixframe.llm._common import dropped, written
 
 
 #: Up to so many links, some 16 MB, one task finds the components.
@@ -63,6 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (mark["n"], mark["h"]) == state:
             break
         state = (mark["n"], mark["h"])
-        now = written(_star(_star(now, larger=True), larger=False), "edges")
+        before, now = now, written(_star(_star(now, larger=True), larger=False), "edges")
+        dropped(before)
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,7 +5,9 @@ such a stream once, record by record, writes every record as a member of its own
 readers fetch any record by offset, and many executors can read one file. On that pass it also applies decisions taken
 over the whole corpus, such as which records become revisits of an equal payload.
 
-All files are reached through a URI, so the folder may be on any file system that pyarrow knows.
+Every file is named by the attempt of the task that writes it, and the manifest or the index, which hold what attempts
+that succeeded have written, tell which files count; those of other attempts are removed at the end. All files are
+reached through a URI, so the folder may be on any file system that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from helixframe.llm._common import bounded_batches, scratch_path, written
 
 #: Uncompressed bytes after which a writer begins another file.
 ROLL_BYTES = 256 << 20
+#: Bytes of archives that one task reads back, about.
+READ_BYTES = 64 << 20
 CHUNK = 1 << 20
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
@@ -132,17 +136,19 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _placed(files, temporary: str, path: str) -> None:
-    """Give a finished file its name; another attempt of the task may have done so before, with the same content."""
-    from pyarrow import fs
+def _attempt() -> str:
+    return f"{TaskContext.get().taskAttemptId()}"
 
-    if files.get_file_info(path).type != fs.FileType.NotFound:
-        files.delete_file(path)
-    files.move(temporary, path)
 
+def _only(folder: str, table: DataFrame) -> None:
+    """Remove the archives below ``folder`` that ``table`` does not name: failed attempts, or slow ones, have left them."""
+    from pyarrow import fs
 
-def _attempt() -> str:
-    return f"{TaskContext.get().taskAttemptId()}"
+    files, base = _open(folder)
+    count = {r["file"] for r in table.select("file").distinct().toLocalIterator()}
+    for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.lstrip(".").removesuffix(".idx") not in count or f.base_name.startswith("."):
+            files.delete_file(f.path)
 
 
 def write_streams(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
@@ -158,7 +164,7 @@ def write_streams(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Data
             if sink is not None:
                 sink.write(z.flush())
                 sink.close()
-                _placed(files, f"{base}/.{name}.{_attempt()}", f"{base}/{name}")
+                files.move(f"{base}/.{name}", f"{base}/{name}")
 
         ordinal = 0
         for b in batches:
@@ -166,8 +172,8 @@ def write_streams(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Data
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if sink is None or size >= roll:
                     close()
-                    name, n, size, ordinal = f"raw-{part:06d}-{n:05d}.warc.gz", n + 1, 0, 0
-                    sink, z = files.open_output_stream(f"{base}/.{name}.{_attempt()}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    name, n, size, ordinal = f"{part:06d}-{n:05d}-{_attempt()}.warc.gz", n + 1, 0, 0
+                    sink, z = files.open_output_stream(f"{base}/.{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 payload = (html or "").encode()
                 r = response(page_id, url, payload)
                 data = encoded(r)
@@ -178,7 +184,9 @@ def write_streams(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Data
             yield _batch(rows, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), MANIFEST)
         close()
 
-    return written(pages.select("page_id", "url", "html").mapInArrow(run, MANIFEST), "manifest")
+    manifest = written(pages.select("page_id", "url", "html").mapInArrow(run, MANIFEST), "manifest")
+    _only(folder, manifest)
+    return manifest
 
 
 def _batch(rows: list[tuple], types: tuple, ddl: str) -> pa.RecordBatch:
@@ -207,7 +215,8 @@ def normalise_streams(decided: DataFrame, source: str, folder: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (files, base), (ours, to) = _open(source), _open(folder)
         ours.create_dir(to, recursive=True)
-        name = out = sidecar = stream = None
+        name = new = stream = None
+        sinks: dict[str, BinaryIO] = {}
         verdict: list[tuple] = []
 
         def rewrite(r: Record) -> Record:
@@ -218,33 +227,34 @@ def normalise_streams(decided: DataFrame, source: str, folder: str) -> DataFrame
             if name is not None:
                 if next(stream, None) is not None:
                     raise ValueError(f"{name} has more records than its manifest")
-                for f, temporary, path in ((out, *_names(name)), (sidecar, *_names(name + ".idx"))):
+                for x, f in sinks.items():
                     f.close()
-                    _placed(ours, temporary, path)
-
-        def _names(file: str) -> tuple[str, str]:
-            return f"{to}/.{file}.{_attempt()}", f"{to}/{file}"
+                    ours.move(f"{to}/.{x}", f"{to}/{x}")
 
         for b in batches:
             rows = []
             for file, ordinal, page_id, keep in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if file != name:
                     close()
-                    name = file
-                    out, sidecar = (ours.open_output_stream(_names(x)[0], compression=None) for x in (file, file + ".idx"))
-                    stream = normalise(io.BufferedReader(files.open_input_stream(f"{base}/{file}", compression=None), CHUNK), out, rewrite)
+                    name, new = file, f"{file.removesuffix('.warc.gz')}-{_attempt()}.warc.gz"
+                    sinks = {x: ours.open_output_stream(f"{to}/.{x}", compression=None) for x in (new, new + ".idx")}
+                    stream = normalise(io.BufferedReader(files.open_input_stream(f"{base}/{file}", compression=None), CHUNK), sinks[new], rewrite)
                 verdict[:] = [(keep["file"] == file and keep["ordinal"] == ordinal, keep["page_id"])]
                 offset, length, r = next(stream)
                 if _page(r.headers["WARC-Record-ID"]) != page_id:
                     raise ValueError(f"{file} and its manifest differ at record {ordinal}")
-                row = (file, offset, length, r.headers["WARC-Type"], page_id, r.headers["WARC-Payload-Digest"].removeprefix("sha1:"))
-                sidecar.write((json.dumps(dict(zip(("file", "offset", "length", "type", "page_id", "digest"), row, strict=True))) + "\n").encode())
+                row = (new, offset, length, r.headers["WARC-Type"], page_id, r.headers["WARC-Payload-Digest"].removeprefix("sha1:"))
+                sinks[new + ".idx"].write((json.dumps(dict(zip(("file", "offset", "length", "type", "page_id", "digest"), row, strict=True))) + "\n").encode())
                 rows.append(row)
             yield _batch(rows, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), INDEX)
         close()
 
-    rows = decided.select("file", "ordinal", "page_id", "keep").repartition("file").sortWithinPartitions("file", "ordinal")
-    return written(rows.mapInArrow(run, INDEX), "index")
+    # A task to an archive, whatever the size of the manifest, by whose bytes Spark would else join the tasks.
+    rows = written(decided.select("file", "ordinal", "page_id", "keep"), "decisions")
+    n = rows.select("file").distinct().count()
+    index = written(rows.repartitionByRange(max(n, 1), "file").sortWithinPartitions("file", "ordinal").mapInArrow(run, INDEX), "index")
+    _only(folder, index)
+    return index
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -276,7 +286,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if f is not None:
             f.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, RECORDS)
+    size = index.agg(F.sum("length").alias("n"), F.countDistinct("file").alias("files")).first()
+    parts = max(size["files"], -(-(size["n"] or 0) // READ_BYTES), 1)
+    dealt = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, RECORDS)
 
 
 def archived(pages: DataFrame, folder: str | None = None, *, least_bytes: int = 0) -> DataFrame:
@@ -285,7 +298,8 @@ def archived(pages: DataFrame, folder: str | None = None, *, least_bytes: int =
     Gives a row per page as in RECORDS. A null html is an empty payload. Of records with equal payloads the one with the
     largest page_id is the response, others revisit it; of rows that share that page_id too, one is. A null page_id is
     the smallest. A null or empty url leaves the header out, and line breaks in one are dropped. Repeated rows are
-    archived once each. No row gives no archive and no rows. Other columns are ignored.
+    archived once each. A payload of any length is taken whole, by a task that holds one record at a time. No row gives
+    no archive and no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
