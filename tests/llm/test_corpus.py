@@ -286,7 +286,7 @@ def test_neighbours(spark):
     found = {}
     for r in out:
         found.setdefault(r.query_id, []).append(r)
-    assert set(found) == set(range(0, 700, 20))
+    assert set(found) == {*range(0, 700, 20)}
     hit = 0
     for q, got in found.items():
         got.sort(key=lambda r: r["rank"])
@@ -301,6 +301,44 @@ def test_neighbours(spark):
         assert [r.vec_id for r in shared] == list(range(101, 111))
 
 
+def test_neighbours_of_several_vectors_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.1]), (2, [0.2, 0.0]), (20, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (4, [0.0, 0.5, 0.0]), (0, [1.0, 0.0]), (5, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in nb.nearest(df, df.where("vec_id % 20 = 0")).collect())
+    assert got == [(0, 1, 1, 0.9), (0, 2, 5, 0.9), (0, 3, 2, 0.2), (20, 1, 3, 2.0), (20, 2, 4, 0.5)]
+
+
+def test_ratio_leaves_out_far_lists(spark, monkeypatch):
+    """Vectors in clusters: a query is compared with few of them, and finds nearly all neighbours."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 24))
+    x = centers[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    tables = {}
+
+    def kept(frame, name, real=nb.written):
+        tables[name] = real(frame, name)
+        return tables[name]
+
+    monkeypatch.setattr(nb, "written", kept)
+    found = {}
+    for r in nb.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)]) >= 18
+    lists = {}
+    for r in tables["posted"].select("vec_id", "lists").collect():
+        for j in r.lists:
+            lists.setdefault(j, set()).add(r.vec_id)
+    asked = {}
+    for r in tables["probes"].select("query_id", "lists").collect():
+        asked.setdefault(r.query_id, set()).update(*(lists.get(j, ()) for j in r.lists))
+    assert set().union(*lists.values()) == set(range(6000)) and np.mean([len(a) for a in asked.values()]) < 0.2 * 6000
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, -1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in nb.nearest(df, df.where("vec_id = 0")).collect())
@@ -311,7 +349,14 @@ def test_few_neighbours(spark):
 def test_graph_search_finds_near_centroids():
     x = vectors(3000, 24).astype(float)
     lists = nb.fitted(x, 200)
+    lists.ratio = 1.3
     ids, far = lists.near(x[:200], 4)
+    row, at, _ = lists.within(x[:200], 8)
+    all_far = np.sqrt(((x[:200, None, :] - lists.centroids[None]) ** 2).sum(axis=2))
+    want = all_far <= 1.3 * np.sort(all_far, axis=1)[:, 1:2]
+    got = np.zeros_like(want)
+    got[row, at] = True
+    assert len(set(zip(row.tolist(), at.tolist(), strict=True))) == len(row) and (want & got).sum() >= 0.98 * want.sum() and (got.sum(axis=1) >= 8).all()
     exact = ((x[:200, None, :] - lists.centroids[None]) ** 2).sum(axis=2)
     assert (ids[:, 0] == exact.argmin(axis=1)).mean() > 0.95 and (np.diff(far, axis=1) >= 0).all()
 
