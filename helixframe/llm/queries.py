@@ -36,8 +36,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A deployment passes a secret of its own.
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "helixframe")
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
