@@ -421,6 +421,25 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in ids) == left[3] and all(r.n == r.t for r in ids)
 
 
+def test_stages_with_odd_rows_and_names(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows, columns with names of results, an empty benchmark, no rows."""
+    rows = [(1, "plain words of a text that is here", "en", 9), (1, "plain words of a text that is here", "en", 9), (None, "other words without an id", None, None), (3, None, None, None), (4, "", "en", 0), (5, "12 + 30", None, 1), (6, "long words " * 50_000, "en", 5), (7, "mail me@x.org now please", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    for c in ("lang_pred", "score", "n_words", "spans", "row", "n_entities", "n_entities_", "key", "keeper", "matches", "kind", "start", "ids"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"language": [None, 1, 1, 6, 7], "near_duplicates": [None, 1, 3, 4, 5, 6, 7], "decontamination": [r[0] for r in rows], "personal_data": [r[0] for r in rows]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and sorted((r.doc_id for r in got), key=str) == sorted(left[name], key=str), name
+        assert all(r[c] == "clash" for r in got for c in docs.columns[4:])
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.n_chars == len(r.text or "") for r in got if r.doc_id == 7} == {True} and not any("me@x.org" in (r.text or "") for r in got)
+    packed = corpus_pipeline.sequences(spark, docs, str(tmp_path))
+    assert packed.select("doc_id", "start").count() > len(rows) and corpus_pipeline.sequences(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_language_stage_with_names_of_results(spark, tmp_path):
     docs = spark.createDataFrame([(i, "some plain words here", "en") for i in range(9)] + [(9, "12 %", "en")], "doc_id long, text string, lang string")
     for c in ("lang_pred", "score", "n_words", "spans", "row", "__text"):
