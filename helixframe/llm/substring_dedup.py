@@ -3,24 +3,24 @@
 Hashing every window of a corpus into an index would take as much room as the corpus. Of the short grams inside each
 window one is selected, the least by hash; equal windows select equal grams, so a window can only occur twice if its
 selected gram does. The index holds where the selected grams stand: each batch of documents adds a sorted, immutable run
-of (fingerprint, text, position), and its texts, compressed; runs are merged when there are too many. To judge a batch,
-its fingerprints are merge-joined with all runs; windows around those that occur more than once, in the batch and in
-what came before, are then verified by their own 64-bit hashes (among windows of one fingerprint only), and words under
-a verified window go.
+of (fingerprint, text, position), and its distinct texts; runs are merged when there are too many. Runs are bucketed by
+fingerprint, and texts by their key, so that what was added before is read in place, never shuffled: a batch's
+fingerprints are dealt to the same buckets and merge-joined with every run. Windows around those that occur more than
+once, in the batch and in what came before, are then verified by their own 64-bit hashes (among windows of one
+fingerprint only), and words under a verified window go.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixframe.llm._common import bounded_batches, dropped, scratch_path, written
 from helixframe.llm.near_dedup import mixed, word_hashes
@@ -32,9 +32,8 @@ HEAVY = 1500
 FANOUT = 4
 #: Parts that equal heavy runs are dealt to where they meet their masks.
 SALT = 32
-
-ZIPPED = "doc_id long, key long, z binary"
-RUN = "fp long, key long, pos int, copies long, least long"
+#: Fingerprints that stand in more texts of a batch than this are kept beside the buckets, which they would make uneven.
+CROWDED = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BITS = np.arange(WINDOW - GRAM + 1)
@@ -90,99 +89,140 @@ def _mapped(make: Callable[[Hasher, tuple], list[tuple]], types: dict[str, pa.Da
     return run
 
 
-def _text_key(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+def text_key(text: Column) -> Column:
+    """Names a text; null and empty ones share a name."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+PLACE = {"fp": pa.int64(), "key": pa.binary(), "pos": pa.int32(), "copies": pa.int64(), "batch": pa.int32()}
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, key, pos, doc_id) of every selected gram."""
+    """(fp, key, pos, copies, batch) of every selected gram of (key, text, copies, batch)."""
     hasher = Hasher()
     for b in batches:
-        fps, keys, pos, size = [np.zeros(0, dtype=np.int64)], [], [np.zeros(0, dtype=np.int32)], []
+        fps, pos, size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], []
         for text in b.column(1).to_pylist():
-            raw = (text or "").encode()
-            found = hasher.selected(raw.split())
+            found = hasher.selected((text or "").encode().split())
             size.append(0 if found is None else len(found[2]))
-            keys.append(_text_key(raw))
             if found is not None:
                 fps.append(found[1][found[2]].view(np.int64))
                 pos.append(found[2].astype(np.int32))
-        row = np.repeat(np.arange(b.num_rows), size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.array(keys, dtype=np.int64)[row]), pa.array(np.concatenate(pos)), b.column(0).take(pa.array(row))], names=["fp", "key", "pos", "doc_id"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "fp long, key long, pos int, doc_id long")
+        row = pa.array(np.repeat(np.arange(b.num_rows), size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), b.column(0).take(row), pa.array(np.concatenate(pos)), b.column(2).take(row), b.column(3).take(row)], schema=pa.schema(PLACE))
 
 
-def _zipped(hasher: Hasher, row: tuple) -> list[tuple]:
-    raw = (row[1] or "").encode()
-    return [(row[0], _text_key(raw), zstandard.compress(raw, 1))]
-
-
-def zipped(docs: DataFrame) -> DataFrame:
-    types = {"doc_id": pa.int64(), "key": pa.int64(), "z": pa.binary()}
-    return docs.select("doc_id", "text").mapInArrow(_mapped(_zipped, types), ZIPPED)
+def fingerprints(texts: DataFrame) -> DataFrame:
+    return texts.select("key", "text", "copies", "batch").mapInArrow(_fingerprints, "fp long, key binary, pos int, copies long, batch int")
 
 
 class Index:
-    """Sorted immutable runs of (fp, key, pos, copies, least) in a folder, and the texts that the keys name.
+    """Sorted immutable runs of (fp, key, pos, copies, batch), and the texts that the keys name, in buckets of a folder.
 
-    Runs are only ever added, or replaced by their merger. ``copies`` rows have the text ``key``, ``least`` is the least
-    id among them.
+    Runs are only ever added, or replaced by their merger. ``copies`` rows have the text ``key``; it first came in
+    ``batch``. Fingerprints in very many texts of a batch stand apart, unbucketed, where Spark splits their joins.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.made = spark, path or scratch_path(spark, "fingerprints"), 0
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+        self.spark, self.path, self.made, self.batches = spark, path or scratch_path(spark, "fingerprints"), 0, 0
+        #: As many as the partitions that the other side of a join has, or Spark would shuffle both.
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
+        self.crowded: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
+        self.tables: list[str] = []
+        self.folders: dict[int, str] = {}
 
-    def _write(self, places: DataFrame) -> DataFrame:
-        at = f"{self.path}/run-{self.made:05d}"
+    def _write(self, rows: DataFrame, by: str | None, name: str) -> DataFrame:
+        at, table = f"{self.path}/{name}-{self.made:05d}", f"helixframe_{uuid.uuid4().hex}"
         self.made += 1
-        places.sortWithinPartitions("fp").write.parquet(at)
-        return self.spark.read.schema(RUN).parquet(at)
+        if by is None:
+            rows.write.parquet(at)
+            out = self.spark.read.schema(rows.schema).parquet(at)
+            self.folders[id(out)] = at
+            return out
+        rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", at).option("compression", "zstd").saveAsTable(table)
+        self.tables.append(table)
+        out = self.spark.table(table)
+        self.folders[id(out)] = at
+        return out
+
+    def _all(self, parts: list[DataFrame]) -> DataFrame:
+        """The rows of several parts, read without their buckets.
+
+        The union of scans by bucket claims to be dealt out as they are, but isn't in this version of Spark; an aggregate
+        of it would be wrong.
+        """
+        return self.spark.read.schema(parts[0].schema).parquet(*(self.folders[id(x)] for x in parts))
+
+    def _run(self, places: DataFrame) -> None:
+        """Write places as a run; they are read twice."""
+        crowd = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("fp")
+        crowd = written(crowd, "crowd")
+        if crowd.isEmpty():
+            self.runs.append(self._write(places, "fp", "run"))
+        else:
+            self.runs.append(self._write(places.join(crowd, "fp", "left_anti"), "fp", "run"))
+            self.crowded.append(self._write(places.join(crowd, "fp", "left_semi"), None, "crowded"))
 
     def add(self, docs: DataFrame) -> None:
-        """Add a batch of documents as a run, and merge the runs if there are many."""
+        """Add a batch of documents as a run; merge the runs of earlier ones if there are many."""
         bounded_batches(self.spark)
-        zipped(docs).write.mode("append").parquet(f"{self.path}/texts")
-        self.runs.append(self._write(fingerprints(docs).select("fp", "key", "pos", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("least"))))
         if len(self.runs) > FANOUT:
             self.compact()
-
-    def texts(self) -> DataFrame:
-        """(doc_id, key, z) of all rows that were added."""
-        return self.spark.read.schema(ZIPPED).parquet(f"{self.path}/texts")
-
-    def places(self) -> DataFrame:
-        """The rows of all runs; a text that came in several batches has some in each."""
-        return reduce(DataFrame.unionByName, self.runs)
-
-    def counts(self) -> DataFrame:
-        return self.places().groupBy("fp").agg(F.sum("copies").alias("n"))
+        # Copies of a text are one row, also where they are a third of all.
+        one = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+        one = one.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.lit(self.batches).cast("int").alias("batch"))
+        self.batches += 1
+        self.texts.append(self._write(one, "key", "texts"))
+        self._run(written(fingerprints(self.texts[-1]), "places"))
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go when it is written."""
+        """Merge all runs into one, and all texts; the old ones go when it is written."""
+        old, tables = [*self.runs, *self.crowded, *self.texts], self.tables
         if len(self.runs) > 1:
-            merged = self.places().groupBy("fp", "key", "pos").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"))
-            old, self.runs = self.runs, [self._write(merged)]
+            self.tables = []
+            places = self._all([*self.runs, *self.crowded])
+            self.runs, self.crowded = [], []
+            self._run(written(places.groupBy("fp", "key", "pos").agg(F.sum("copies").alias("copies"), F.min("batch").alias("batch")), "places"))
+            texts = self._all(self.texts)
+            self.texts = [self._write(texts.groupBy("key").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"), F.min("batch").alias("batch")), "key", "texts")]
+            for table in tables:
+                self.spark.sql(f"drop table {table}")
             dropped(*old)
+            self.folders = {id(x): self.folders[id(x)] for x in [*self.runs, *self.crowded, *self.texts]}
 
-    def repeated(self) -> DataFrame:
-        """(fp, n) of the fingerprints that occur more than once in all that was added."""
-        return self.counts().where("n > 1")
+    def counts(self) -> DataFrame:
+        """(fp, n) of all that was added."""
+        return self._all([*self.runs, *self.crowded]).groupBy("fp").agg(F.sum("copies").alias("n"))
 
+    def repeated(self, fps: DataFrame) -> DataFrame:
+        """(fp, n) of those among ``fps`` that occur more than once in all that was added; no run is shuffled."""
+        found, total = fps, F.lit(0).cast("long")
+        for i, run in enumerate([*self.runs, *self.crowded]):
+            found = found.join(run.groupBy("fp").agg(F.sum("copies").alias(f"n{i}")), "fp", "left")
+            total = total + F.coalesce(f"n{i}", F.lit(0))
+        return found.select("fp", total.alias("n")).where("n > 1")
 
-def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
-    """(fp, n, key, firsts, copies, windows) of the runs of a text whose selected gram is among the candidates.
+    def places(self, fps: DataFrame) -> DataFrame:
+        """The rows of all runs for the fingerprints of ``fps``, with its columns; no run is shuffled."""
+        return reduce(DataFrame.unionByName, [run.join(fps, "fp") for run in [*self.runs, *self.crowded]])
 
-    Of the rows with one text only the one of the least id gives them, for all; of equal runs in a text, the first.
-    """
-    doc_id, key, z, spokesman, places = row
-    if spokesman is not None and doc_id != spokesman:
-        return []
-    words = zstandard.decompress(z).split()
-    found = hasher.selected(words)
+    def firsts(self, keys: DataFrame) -> DataFrame:
+        """(key, first) of the texts that ``keys`` names: the first batch that they came in; no text is shuffled."""
+        for i, t in enumerate(self.texts):
+            keys = keys.join(t.select("key", F.col("batch").alias(f"b{i}")), "key", "left")
+        return keys.select("key", F.least(F.lit(None).cast("int"), *(f"b{i}" for i in range(len(self.texts)))).alias("first"))
+
+    def named(self, keys: DataFrame) -> DataFrame:
+        """The texts of ``keys`` (key, first, others) as (key, text, others), once each; no text is shuffled."""
+        return reduce(DataFrame.unionByName, [t.select("key", "text", "batch").join(keys, "key").where("batch = first").drop("batch", "first") for t in self.texts])
+
+
+def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
+    """(fp, n, key, firsts, copies, windows) of the runs of a text whose selected gram is among the candidates; equal ones as one."""
+    key, text, places = row
+    found = hasher.selected(text.encode().split())
     if found is None:
         return []
     sums, grams, at, first = found
@@ -197,7 +237,7 @@ def _windows(hasher: Hasher, row: tuple) -> list[tuple]:
     return [(fp, n, key, firsts, copies * len(firsts), np.frombuffer(raw, dtype=np.int64)) for (fp, raw), (n, copies, firsts) in runs.items()]
 
 
-JUDGED = {"fp": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64()), "mask": pa.int64(), "head": pa.int64()}
+JUDGED = {"fp": pa.int64(), "key": pa.binary(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64()), "mask": pa.int64()}
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +246,12 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows come sorted by fingerprint, and all of a light one are here.
     """
 
-    def given(rows: pa.Table, hit: np.ndarray, mask: np.ndarray | None, head: np.ndarray | None) -> pa.RecordBatch:
+    def given(rows: pa.Table, hit: np.ndarray, mask: np.ndarray | None) -> pa.RecordBatch:
         at = pa.array(hit)
         none = pa.nulls(len(hit), pa.int64())
         cols = [rows[c].combine_chunks().take(at) for c in ("fp", "key", "firsts", "copies")]
         windows = rows["windows"].combine_chunks().take(at) if mask is None else pa.nulls(len(hit), JUDGED["windows"])
-        return pa.RecordBatch.from_arrays([*cols, windows, none if mask is None else pa.array(mask), none if head is None else pa.array(head)], schema=pa.schema(JUDGED))
+        return pa.RecordBatch.from_arrays([*cols, windows, none if mask is None else pa.array(mask)], schema=pa.schema(JUDGED))
 
     def judged(rows: pa.Table) -> pa.RecordBatch:
         lists = rows["windows"].combine_chunks()
@@ -223,14 +263,14 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.arange(len(values)) - np.repeat(starts[:-1], lengths)
         mask = np.bitwise_or.reduceat(np.where(counts[inverse] > 1, np.int64(1) << inside, 0), starts[:-1])
         hit = np.flatnonzero(mask)
-        return given(rows, hit, mask[hit], values[starts[:-1]][hit])
+        return given(rows, hit, mask[hit])
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         heavy = b["n"].to_numpy() > HEAVY
         if heavy.any():
-            yield given(pa.Table.from_batches([b]), np.flatnonzero(heavy), None, None)
+            yield given(pa.Table.from_batches([b]), np.flatnonzero(heavy), None)
             b = b.filter(pa.array(~heavy))
         if not b.num_rows:
             continue
@@ -256,21 +296,17 @@ def _heavy(runs: DataFrame) -> DataFrame:
     masks = each.join(often, "w").groupBy("fp", "windows").agg(F.sum(bit).alias("mask"))
     masks = masks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = runs.withColumn("salt", F.pmod(F.xxhash64("key", F.col("firsts")[0]), F.lit(SALT)).cast("int"))
-    return salted.join(masks, ["fp", "windows", "salt"]).select("key", "firsts", "mask", F.col("windows")[0].alias("head"))
+    return salted.join(masks, ["fp", "windows", "salt"]).select("key", "firsts", "mask")
 
 
 def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
-    doc_id, z, with_text, flags = row
-    words = zstandard.decompress(z).split()
+    key, text, with_text, flags = row
+    words = text.encode().split()
     removed = 0
     if flags:
-        signed = hasher.windows(words).view(np.int64)
         firsts = np.array([a for f in flags for a in f["firsts"]], dtype=np.int64)
-        mask, head = (np.repeat(np.array([f[c] for f in flags], dtype=np.int64), [len(f["firsts"]) for f in flags]) for c in ("mask", "head"))
-        # Those that don't agree belong to another text of the same key.
-        real = firsts < len(signed)
-        real[real] = signed[firsts[real]] == head[real]
-        starts = (firsts[real][:, None] + _BITS)[(mask[real][:, None] >> _BITS) & 1 == 1]
+        mask = np.repeat(np.array([f["mask"] for f in flags], dtype=np.int64), [len(f["firsts"]) for f in flags])
+        starts = (firsts[:, None] + _BITS)[(mask[:, None] >> _BITS) & 1 == 1]
         delta = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(delta, starts, 1)
         np.add.at(delta, starts + WINDOW, -1)
@@ -279,7 +315,7 @@ def _kept(hasher: Hasher, row: tuple) -> list[tuple]:
         if removed:
             words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
     kept = b" ".join(words)
-    return [(doc_id, len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)]
+    return [(key, len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)]
 
 
 def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) -> DataFrame:
@@ -290,33 +326,39 @@ def remove_repeats(docs: DataFrame, index: Index, *, with_text: bool = True) ->
     are those of the input. ``index`` must hold the rows of ``docs``, added in any number of batches, and may hold any
     others: to judge a new batch against all before it, add it, then call this with the batch alone.
 
-    A null or empty text has no words; texts of fewer than 35 words have no window and stay whole. A null doc_id stays
-    null. Repeated rows are occurrences of their own, so all their windows go. No row gives no rows. Other columns are
-    ignored.
+    A null or empty text has no words; texts of fewer than 35 words have no window and stay whole. A text of any length
+    is judged whole, by one task that holds some 30 bytes for each of its words. A null doc_id stays null. Repeated rows
+    are occurrences of their own, so all their windows go. No row gives no rows. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    wanted = index.repeated().join(fingerprints(docs).select("fp").distinct(), "fp", "left_semi")
-    # The rows of one text, of all batches, are counted here, and one of them speaks for all.
-    at = index.places().join(wanted, "fp").groupBy("key", "pos", "n").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"))
-    # Written, so that the join reads it as it is: Spark splits the copies of a text only between two plain shuffles.
-    places = written(at.groupBy("key").agg(F.min("least").alias("spokesman"), F.collect_list(F.struct("pos", "n", "copies")).alias("places")), "places")
-    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.int64(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
-    joined = index.texts().join(places, "key").select("doc_id", "key", "z", "spokesman", "places")
-    runs = joined.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key long, firsts array<int>, copies long, windows array<long>")
+    if not index.texts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    # All that follows takes a text once, however many rows have it.
+    keys = written(index.firsts(docs.select(text_key(F.col("text")).alias("key")).distinct()), "keys")
+    own = index.named(keys)
+    fps = fingerprints(own.withColumns({"copies": F.lit(1).cast("long"), "batch": F.lit(0)})).select("fp").distinct()
+    wanted = written(index.repeated(fps), "wanted")
+    at = index.places(wanted).groupBy("key", "pos", "n").agg(F.sum("copies").alias("copies"), F.min("batch").alias("first"))
+    places = written(at.groupBy("key").agg(F.min("first").alias("first"), F.collect_list(F.struct("pos", "n", "copies")).alias("places")), "places")
+    w_types = {"fp": pa.int64(), "n": pa.int64(), "key": pa.binary(), "firsts": pa.list_(pa.int32()), "copies": pa.int64(), "windows": pa.list_(pa.int64())}
+    texts = index.named(places).select("key", "text", "places")
+    runs = texts.mapInArrow(_mapped(_windows, w_types), "fp long, n long, key binary, firsts array<int>, copies long, windows array<long>")
     # By fingerprint, but heavy ones are spread; these go another way after this.
     runs = runs.repartition(F.when(F.col("n") > HEAVY, F.xxhash64("key", F.col("firsts")[0])).otherwise(F.col("fp"))).sortWithinPartitions("fp")
-    judged = written(runs.mapInArrow(_judged, "fp long, key long, firsts array<int>, copies long, windows array<long>, mask long, head long"), "judged")
-    light = judged.where("mask is not null").select("key", "firsts", "mask", "head")
+    judged = written(runs.mapInArrow(_judged, "fp long, key binary, firsts array<int>, copies long, windows array<long>, mask long"), "judged")
+    light = judged.where("mask is not null").select("key", "firsts", "mask")
     heavy = _heavy(judged.where("mask is null").select("fp", "key", "firsts", "copies", "windows"))
-    flags = written(light.unionByName(heavy).groupBy("key").agg(F.collect_set(F.struct("firsts", "mask", "head")).alias("flags")), "flags")
-    o_types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    return zipped(docs).join(flags, "key", "left").select("doc_id", "z", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    flags = written(light.unionByName(heavy).groupBy("key").agg(F.collect_list(F.struct("firsts", "mask")).alias("flags")), "flags")
+    o_types = {"key": pa.binary(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+    cleaned = own.join(flags, "key", "left").select("key", "text", F.lit(with_text).alias("with_text"), "flags").mapInArrow(_mapped(_kept, o_types), "key binary, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    # Written, so that Spark splits the join of rows with a text that very many have.
+    cleaned = written(cleaned, "cleaned")
+    return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(cleaned, "key").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def indexed(docs: DataFrame, batches: int = 2) -> Index:
-    """An index of ``docs``, added in ``batches`` parts as they would arrive, and merged."""
+    """An index of ``docs``, added in ``batches`` parts as they would arrive."""
     index = Index(docs.sparkSession)
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == i))
-    index.compact()
     return index
