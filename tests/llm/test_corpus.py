@@ -222,12 +222,49 @@ def test_index_of_runs(spark):
     assert len(index.runs) <= sd.FANOUT + 1
     counts = {r.fp: r.n for r in index.counts().collect()}
     index.compact()
-    assert len(index.runs) == 1 and {r.fp: r.n for r in index.counts().collect()} == counts == dict(Counter(r.fp for r in sd.fingerprints(df).collect()))
+    hasher, want = sd.Hasher(), Counter()
+    for _, t in rows:
+        found = hasher.selected((t or "").encode().split())
+        want.update([] if found is None else found[1][found[2]].view(np.int64).tolist())
+    assert len(index.runs) == len(index.texts) == 1 and {r.fp: r.n for r in index.counts().collect()} == counts == dict(want)
     for part in index.runs[0].inputFiles():
         fps = [r.fp for r in spark.read.parquet(part).collect()]
         assert fps == sorted(fps)
 
 
+def test_history_is_not_shuffled(spark):
+    """A batch is dealt to the buckets of the runs; these are scanned, and joined by merging, as they are."""
+    index = sd.indexed(spark.createDataFrame(corpus(5), DDL), batches=3)
+    batch, name = spark.range(50).select((F.col("id") * 7).alias("fp")), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    for df in (index.places(batch), index.repeated(batch.distinct())):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        scans = [i for i, x in enumerate(lines) if "FileScan" in x]
+        assert len(scans) == 3
+        for i in scans:
+            above, least = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < least:
+                    above.append(lines[j])
+                    least = depth[j]
+            join = next(k for k, x in enumerate(above) if "SortMergeJoin" in x)
+            assert not any("Exchange" in x for x in above[:join])
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("crowded", [0, 3])
+def test_repeats_with_crowded_fingerprints(spark, monkeypatch, crowded):
+    monkeypatch.setattr(sd, "CROWDED", crowded)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, DDL)
+    index = sd.indexed(df, batches=2)
+    assert index.crowded
+    index.compact()
+    assert Counter(tuple(r)[:4] for r in sd.remove_repeats(df, index).collect()) == brute_repeats(rows)
+
+
 def test_masks_leave_no_overlap_without_a_hit():
     places = [[i for i, c in enumerate(m) if c == "1"] for m in dc.MASKS]
     for length in range(dc.SHORTEST, dc.WINDOW + 1):
