@@ -111,15 +111,20 @@ def mixed64(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 
 @F.pandas_udf(LongType())
 def mixed64_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Multiply-rotate hash of a text's bytes, eight at a time: mixed64_text(seed, text)."""
+    """Multiply-rotate hash of a text's bytes, eight at a time: mixed64_text(seed, text).
+
+    All texts of a batch that have an i-th word take its step together.
+    """
     for seeds, texts in parts:
-        out = []
-        for seed, text in zip(seeds, texts, strict=True):
-            h, raw = np.array([seed], dtype=np.int64).view(np.uint64), text.encode()
-            for i in range(0, len(raw), 8):
-                h = multiply_rotate(h ^ np.uint64(int.from_bytes(raw[i : i + 8], "big")))
-            out.append(int(h.view(np.int64)[0]))
-        yield pd.Series(out, dtype="int64")
+        raw = [t.encode() for t in texts]
+        h = seeds.to_numpy(dtype=np.int64).view(np.uint64).copy()
+        size = np.array([len(r) for r in raw], dtype=np.int64)
+        for i in range(0, int(size.max(initial=0)), 8):
+            at = np.flatnonzero(size > i)
+            # A short last word is a smaller number, not one with zeros behind.
+            word = np.frombuffer(b"".join(raw[j][i : i + 8].rjust(8, b"\0") for j in at), dtype=">u8").astype(np.uint64)
+            h[at] = multiply_rotate(h[at] ^ word)
+        yield pd.Series(h.view(np.int64))
 
 
 def sampled(df: DataFrame, kmer: str, seed: int, among: int, take: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -26,6 +27,41 @@ def pairs_text(value: Column, mark: str = ";") -> Column:
     return F.array_join(F.transform(value, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), mark)
 
 
+def formatted(pattern: str, value: Column) -> Column:
+    """Numbers as the C library writes them, such as "%2.2g": its rounding is of the binary value, and its %g drops zeros.
+
+    An Arrow UDF, for files that have to agree with others to the letter; format_string rounds and pads differently.
+    """
+
+    @F.pandas_udf("string")
+    def written(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else pattern % v for v in values], dtype=object)
+
+    return written(value.cast("double"))
+
+
+def joined(*texts: Column) -> Column:
+    """Texts one after the other."""
+    return F.concat(*texts)
+
+
+def sliced(text: Column, begin: Column, end: Column) -> Column:
+    """The characters from ``begin`` (from 0) up to ``end``; what lies outside of the text is left out."""
+    first = F.greatest(begin, F.lit(0))
+    return F.substring(text, (first + 1).cast("int"), F.greatest(F.least(end, F.length(text)) - first, F.lit(0)).cast("int"))
+
+
+def split_at(text: Column, at: Column) -> Column:
+    """struct<left, right>: the characters before a place (from 0), and those from it on."""
+    return F.struct(sliced(text, F.lit(0), at).alias("left"), sliced(text, at, F.length(text)).alias("right"))
+
+
+def found_at(text: Column, what: Column) -> Column:
+    """The first place (from 0) of a text in another; the other's length where there is none."""
+    at = F.instr(text, what)
+    return F.when(at > 0, at - 1).otherwise(F.length(text))
+
+
 @dataclass(frozen=True)
 class ColumnType:
     """How a column of a named type is read from text and written to it."""

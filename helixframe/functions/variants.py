@@ -71,8 +71,8 @@ def described(alleles: DataFrame, *, compat: bool = False) -> DataFrame:
     """``alleles`` (chr, pos, ref, alt and more) with a row per alternative and its kind, first, last, dref and dalt.
 
     Lengths tell the kinds apart; what several bases have in common at their start is taken off, and a remainder that is
-    its own reverse complement's reference is an inversion. Ranges include their last base; with ``compat`` they end one
-    later, as in older output of this kind.
+    its own reverse complement's reference is an inversion; an alternative equal to the reference is "id". Ranges include
+    their last base; with ``compat`` they end one later, and equal alleles are empty replacements, as in older output.
     """
     extra = 1 if compat else 0
     one = alleles.withColumn("alt", F.explode(F.split("alt", ",")))
@@ -81,16 +81,17 @@ def described(alleles: DataFrame, *, compat: bool = False) -> DataFrame:
     n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.least(r, a).cast("long"))
     one = one.withColumn("__n", F.when((r > 1) & (a > 1), n).when((r == 1) & (a == 1), F.lit(0).cast("long")).otherwise(F.lit(1).cast("long")))
     ref, alt = (F.expr(f"substring({c}, cast(__n as int) + 1)") for c in ("ref", "alt"))
-    one = one.withColumns({"dref": ref, "dalt": alt})
+    same = F.lit(False) if compat else F.col("ref") == F.col("alt")
+    one = one.withColumns({"__same": same, "dref": F.when(same, F.col("ref")).otherwise(ref), "dalt": F.when(same, F.col("alt")).otherwise(alt)}).withColumn("__n", F.when(same, 0).otherwise(F.col("__n")))
     pos, m = F.col("pos"), F.length("dref")
     kind = (
-        F.when((r == 1) & (a == 1), "sub").when(r == 1, "ins").when(a == 1, "del")
+        F.when(F.col("__same"), "id").when((r == 1) & (a == 1), "sub").when(r == 1, "ins").when(a == 1, "del")
         .when((m == F.length("dalt")) & (m > 0) & F.coalesce(complemented(F.col("dalt")) == F.upper("dref"), F.lit(False)) & ~F.col("dref").contains("N"), "inv").otherwise("delins")
     )
     one = one.withColumn("kind", kind)
     first = F.when(F.col("kind").isin("sub", "ins"), pos).otherwise(pos + F.col("__n"))
     last = F.when(F.col("kind") == "sub", pos).when(F.col("kind") == "ins", pos + 1).otherwise(pos + F.col("__n") + m - 1 + extra)
-    return one.withColumns({"first": first, "last": last}).drop("__n")
+    return one.withColumns({"first": first, "last": last}).drop("__n", "__same")
 
 
 def locus_text(zone: Column, pos: Column, rel: Column) -> Column:

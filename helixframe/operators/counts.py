@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from helixframe.functions.alignment import atoms, flag
 from helixframe.functions.chrom import chr_key
 from helixframe.functions.stats import CATEGORIES, gamma_parameters, gamma_sf, kld, phred, ratio
-from helixframe.functions.text import pairs
+from helixframe.functions.text import formatted, pairs
 from helixframe.operators.intervals import in_regions, points_in
 
 #: Column of each single-character event; all other events go to ``indels``.
@@ -145,6 +145,7 @@ def variants(counts: DataFrame, scores: DataFrame, bases: DataFrame, *, coverage
 
 
 def vcf_lines(calls: DataFrame) -> DataFrame:
-    """``calls`` of variants() with line, the text of their record."""
-    info = F.format_string("AC=%d;AF=%.2f;DP=%d;KLD=%.2g;PVAL=%.2g;HGVSg=%s", "ac", "af", "dp", "kld", "pval", "hgvsg")
-    return calls.withColumn("line", F.concat_ws("\t", "chr", F.col("pos").cast("string"), "id", "ref", "alt", F.format_string("%.2f", "qual"), "filter", info))
+    """``calls`` of variants() with line, the text of their record, numbers as the C library writes them."""
+    parts = {"AC": F.col("ac").cast("string"), "AF": formatted("%2.2f", F.col("af")), "DP": F.col("dp").cast("string"), "KLD": formatted("%2.2f", F.col("kld")), "PVAL": formatted("%2.2g", F.col("pval")), "HGVSg": F.col("hgvsg")}
+    info = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in parts.items()))
+    return calls.withColumn("line", F.concat_ws("\t", "chr", F.col("pos").cast("string"), "id", "ref", "alt", formatted("%.2f", F.col("qual")), "filter", info))

@@ -82,6 +82,18 @@ def slices(wanted: DataFrame, stored: DataFrame, piece: int = PIECE) -> DataFram
     return cut.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "__c"))), lambda x: x["__c"]), "").alias("bases"))
 
 
+def bases_at(loci: DataFrame, stored: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(chr, pos, ref) of the distinct ``loci`` (chr, pos from 1) in a genome stored as pieces(), each fetched by its piece.
+
+    What annotated() and variants() take as bases, without a row for every base of the genome. A locus off its sequence,
+    or on one that isn't stored, is left out.
+    """
+    at = loci.select("chr", "pos").distinct().withColumn("piece", F.floor((F.col("pos") - 1) / piece).cast("int"))
+    met = at.join(stored.select(F.col("acc").alias("chr"), "piece", F.col("seq").alias("__s")), ["chr", "piece"])
+    base = F.substring("__s", (F.col("pos") - F.col("piece") * piece).cast("int"), F.lit(1))
+    return met.select("chr", "pos", F.upper(base).alias("ref")).where(F.col("ref") != "")
+
+
 def transcripts_near(loci: DataFrame, transcripts: DataFrame, window: int = 250) -> DataFrame:
     """``loci`` (chr, pos0) with every transcript (accession, chr, txStart, txEnd and more) within ``window`` bases of them."""
     points = loci.withColumn("__z", F.col("pos0") + 1)

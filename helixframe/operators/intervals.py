@@ -7,7 +7,7 @@ that both sides share, so no distinct is needed after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 #: Width of a bin. Intervals much longer than this are repeated once per bin.
@@ -86,3 +86,13 @@ def runs(df: DataFrame, value: str, *by: str) -> DataFrame:
     """(by, first, last): stretches of consecutive numbers."""
     w = Window.partitionBy(*by).orderBy(value)
     return df.select(*by, value).distinct().withColumn("__g", F.col(value) - F.row_number().over(w)).groupBy(*by, "__g").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("__g")
+
+
+def save(intervals: DataFrame, path: str, *, on: str = "chr", start: str = "start") -> None:
+    """Write intervals, and whatever they are annotated with, in order of their places, so that readers skip what lies elsewhere."""
+    intervals.repartitionByRange(on, start).sortWithinPartitions(on, start).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Intervals that save() has written."""
+    return spark.read.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from helixframe.functions.chrom import HG19
+from helixframe.functions.kmers import ROUNDS
 from helixframe.plans.fixtures import with_views
 
 _COUNTS = ("nA", "nC", "nG", "nT", "nN", "nX0", "nX1", "nI", "nD")
@@ -120,7 +121,7 @@ SQL: dict[str, str] = {
     "ordered_merge": "select pos, sum(nA)::bigint as nA, sum(nC)::bigint as nC from <counts> group by pos",
     "positional_zip": "select seq_id as idx, length(seq)::int as n1, length(replace(seq, 'N', ''))::int as n2 from <seqs>",
     "tsv_map": 'select chr, start, "end", gene, "end" - start as len from <regions>',
-    "rank_select": 'select q as query, (select count(distinct start % 997) from <regions> where start % 997 < q)::bigint as rank from (select distinct "end" % 1100 as q from <regions>)',
+    "rank_select": 'with v as (select distinct start * 7919 % 99991 * 1009 as v from <regions>) select q as query, (select count(*) from v where v < q)::bigint as rank from (select distinct "end" * 104729 % 99991 * 1009 as q from <regions>)',
     "scatter_round_robin": "select (seq_id % 7)::int as part, count(*) as n, sum(length(seq))::bigint as bases from <seqs> group by 1",
     "cigar_decode": "select cigar, i::int as i, op, len from (select cigar, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDSH])', 2)) as op, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDSH])', 1))::bigint as len, unnest(range(len(regexp_extract_all(cigar, '[MIDSH]')))) as i from (select distinct cigar from <alignments>))",
     "flag_predicates": "select flags, " + ", ".join(f"count(*) filter (flags & {1 << i} <> 0) as {n}" for i, n in enumerate(("paired", "proper_pair", "unmapped", "mate_unmapped", "reverse", "mate_reverse", "read_1", "read_2", "secondary", "qc_fail", "duplicate", "supplementary"))) + " from <alignments> group by flags",
@@ -176,7 +177,46 @@ SQL["base_divergence"] = f"select sample, chr, pos, round({_SHARE}, 6) as diverg
 _CALLED = f"""(select w.chr, w.pos, ref, 0.002 / (1 + nA) as pval, nA+nC+nG+nT as dp, unnest(['A', 'C', 'G', 'T']) as alt, unnest([nA, nC, nG, nT]) as ac from {_NAMED} w join <bases> b on b.chr = w.chr and b.pos = w.pos)"""
 _PASSED = f"(select * from {_CALLED} c where dp >= 100 and ac >= 3 and alt <> ref and pval <= 1e-4)"
 SQL["call_variants"] = f"select chr, pos, ref, alt, round(-10 * log10(pval), 4) as qual, ac, round(ac::double / dp, 6) as af, dp, concat(chr, ':g.', pos, ref, '>', alt) as hgvsg from {_PASSED} p"
-SQL["vcf_lines"] = f"select chr, pos, alt, printf('AC=%d;DP=%d', ac, dp) as info, 8 as n_columns from {_PASSED} p"
+SQL["vcf_lines"] = f"""select chr, pos, alt, concat_ws(chr(9), chr, pos, '.', ref, alt, printf('%.2f', -10 * log10(pval)), 'PASS', printf('AC=%d;AF=%.2f;DP=%d;KLD=0.50;PVAL=', ac, ac::double / dp, dp)
+    || case when strlen(printf('%.2g', pval)) < 2 then ' ' else '' end || printf('%.2g', pval) || concat(';HGVSg=', chr, ':g.', pos, ref, '>', alt)) as line from {_PASSED} p"""
+SQL["annot_exac"] = SQL["annot_loci"].replace("select chr, pos, nA, cov, ref, split_part(alt, ' ', 2) as alt, round(own::double / cov, 6) as raf, round(split_part(alt, ' ', 1)::double / cov, 6) as vaf, round(pval, 6) as pval, '' as exac from (",
+    "select chr, pos, split_part(alt, ' ', 2) as alt, case when split_part(alt, ' ', 2) = translate(ref, 'ACGT', 'CGTA') then (pos % 100)::varchar else '' end as exac from (").replace("pval <= 0.05", "true")
+SQL["reference_bases"] = "select seq_id::varchar as chr, p::bigint as pos, substr(seq, p, 1) as ref from (select distinct seq_id, seq, unnest([1, 128, 129, length(seq) // 2, length(seq)]) as p from <seqs>) where p between 1 and length(seq)"
+SQL["rope_functions"] = """select seq_id, md5(w) as whole, substr(w, greatest(a - 3, 0) + 1, a + 5 - greatest(a - 3, 0)) as slice, substr(w, 1, a) as head, (length(w) - a)::int as rest, length(seq)::int as mark, length(w)::int as "none"
+    from (select seq_id, seq, concat(seq, '-', reverse(seq)) as w, length(seq) // 3 as a from <reference>)"""
+SQL["sql_functions"] = """select seq_id, pos, translate(reverse(k), 'ACGT', 'TGCA') as revcomp, least(k, translate(reverse(k), 'ACGT', 'TGCA')) as canonical_kmer,
+    list_sum(list_transform(range(11), lambda i: (strpos('ACGT', substr(k, (i + 1)::int, 1)) - 1) * 4 ** (10 - i)))::bigint as kmer_pack, length(regexp_replace(k, '[^GC]', '', 'g')) / 11.0 as gc_fraction, k as back, k as info
+    from (select seq_id, p::int as pos, substr(seq, p + 1, 11) as k from (select seq_id, seq, unnest(range(length(seq) - 10)) as p from <reference>)) where k not like '%N%'"""
+SQL["tsv_roundtrip"] = f"select w.chr, w.pos, {', '.join('w.' + c for c in _COUNTS)}, i.indels from ({SQL['counts_merge']}) w join ({SQL['counts_merge_indels']}) i on i.chr = w.chr and i.pos = w.pos"
+SQL["stream_counts_indels"] = SQL["counts_merge_indels"]
+SQL["bed_roundtrip"] = SQL["intervals_saved"] = 'select chr, start, "end", gene from <regions>'
+SQL["sam_read"] = "select concat('read', id) as name, flags, chr, pos, cigar, tlen, seq, '*' as qual from <alignments>"
+SQL["fastq_roundtrip"] = "select concat('r', seq_id) as id, md5(seq) as seq, length(seq)::int as n from <seqs> where length(seq) > 0"
+SQL["fasta_read"] = "select concat('s', seq_id, ' some words') as name, md5(seq) as seq from <reference>"
+SQL["vcf_roundtrip"] = f"select chr, pos, ref, alt, round(-10 * log10(pval), 2) as qual, 'PASS' as filter, printf('AC=%d;DP=%d', ac, dp) as info from {_PASSED} p"
+SQL["gff3_read"] = 'select id, parent, type, chr, start, "end" from <features>'
+SQL["refgene_read"] = 'select accession as name, chr as chrom, strand, "txStart", "txEnd", 3::int as n_exons, "txStart" + 90 as last_base from <transcripts>'
+
+# The hash step by step, in numbers twice as wide: products leave a remainder, rotations are a product and a quotient.
+_TWO = "(1::uhugeint << {0})"
+
+
+def _hash_rounds(name: str, word: str, source: str) -> str:
+    """A select of ``source`` with ``name`` hashed on by a word."""
+    sql = f"select * exclude ({name}), xor({name}, {word}) as {name} from {source}"
+    for x, left, right in ROUNDS:
+        sql = f"select * exclude ({name}), ({name}::uhugeint * {x}::uhugeint) % {_TWO.format(64)} as {name} from ({sql})"
+        for up in (left, 64 - right):
+            sql = f"select * exclude ({name}), xor({name}, ({name} * {_TWO.format(up)}) % {_TWO.format(64)} + {name} // {_TWO.format(64 - up)}) as {name} from ({sql})"
+    return sql
+
+
+_SIGNED = "case when {0} >= (1::uhugeint << 63) then ({0}::hugeint - (1::hugeint << 64))::bigint else {0}::bigint end"
+_BYTES = "list_sum(list_transform(range(length({0})), lambda i: ascii(substr({0}, (i + 1)::int, 1))::hugeint * (1::hugeint << (8 * (length({0}) - 1 - i))::int)))::uhugeint"
+_READS = "(select distinct id, id::uhugeint as x, 17::uhugeint as h, 17::uhugeint as g, concat('read', id) as t from <alignments>)"
+_HASHED = _hash_rounds("h", "x", f"({_hash_rounds('g', _BYTES.format('substr(t, 1, 8)'), _READS)})")
+SQL["xlr_hash"] = f"""select id, {_SIGNED.format('h')} as hash, case when length(t) > 8 then {_SIGNED.format('g2')} else {_SIGNED.format('g')} end as text_hash
+    from (select * from ({_HASHED}) join (select id as id2, g as g2 from ({_hash_rounds('g', _BYTES.format("concat(substr(t, 9), '')"), f'({_HASHED})')})) on id2 = id)"""
 
 # A transcript of three exons, base by base: where it stands, spliced, and the intron bases by their nearer exon.
 _TX = f"""(select accession, chr, strand, "txStart" as t0, g, zone0, i from <transcripts>, (select g, case when e then 'EXON' else 'OUT' end as zone0, sum(case when e then 1 else 0 end) over (order by g) - 1 as i from (select g, {' or '.join(f'g between {a} and {b - 1}' for a, b in _EX)} as e from range(-300, 400) t(g))))"""

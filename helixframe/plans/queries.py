@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.functions import alignment, chrom, coding, kmers, stats, text, variants
+from helixframe.functions import alignment, chrom, coding, kmers, registry, stats, text, variants
 from helixframe.operators import counts, features, intervals, reads, tables
 from helixframe.plans.fixtures import view
+from helixframe.sources import sequences, text_formats
 from helixframe.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,6 @@ def gamma_fit_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def gamma_pval(spark: SparkSession, sf: str) -> DataFrame:
     scores = _scores(spark, sf)
-    # Parameters are rounded, as they are where a table of them is kept as text.
     fitted = counts.gamma_fit(scores)
     return counts.tails(scores, fitted).select("sample", "chr", "pos", _r("kld"), _r("pval", 4))
 
@@ -96,7 +96,7 @@ def call_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vcf_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return counts.vcf_lines(_calls(spark, sf)).select("chr", "pos", "alt", F.regexp_replace("line", "^.*(AC=[0-9]+);AF=[0-9.]+;(DP=[0-9]+);.*$", "$1;$2").alias("info"), F.size(F.split("line", "\t")).alias("n_columns"))
+    return counts.vcf_lines(_calls(spark, sf)).select("chr", "pos", "alt", "line")
 
 
 def exon_read_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +173,8 @@ def tsv_map(spark: SparkSession, sf: str) -> DataFrame:
 
 def rank_select(spark: SparkSession, sf: str) -> DataFrame:
     r = view(spark, sf, "regions")
-    return tables.ranks(r.select((F.col("start") % 997).alias("value")), r.select((F.col("end") % 1100).alias("query")))
+    # Values over many of the stretches that ranks are counted in.
+    return tables.ranks(r.select((F.col("start") * 7919 % 99991 * 1009).alias("value")), r.select((F.col("end") * 104729 % 99991 * 1009).alias("query")))
 
 
 def scatter_round_robin(spark: SparkSession, sf: str) -> DataFrame:
@@ -369,10 +370,123 @@ def base_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "counts").where(total > 0).select("sample", "chr", "pos", F.round(stats.relative_entropy(shares, even), 6).alias("divergence"))
 
 
+def annot_exac(spark: SparkSession, sf: str) -> DataFrame:
+    whole = _named(spark, sf)
+    scores = whole.select("chr", "pos", F.lit(0.5).alias("kld"), F.try_divide(F.lit(1.0), 1 + F.col("nA")).alias("pval"))
+    known = view(spark, sf, "bases").select("chr", "pos", F.translate("ref", "ACGT", "CGTA").alias("alt"), (F.col("pos") % 100).alias("af"))
+    return counts.annotated(whole, scores, view(spark, sf, "bases"), 1.0, known).select("chr", "pos", "alt", "exac")
+
+
+def reference_bases(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "seqs").select(F.col("seq_id").cast("string").alias("acc"), "seq")
+    n = F.length("seq").cast("long")
+    at = F.array(*(F.lit(i).cast("long") for i in (1, 128, 129)), F.floor(n / 2), n, n + 1)
+    loci = s.select(F.col("acc").alias("chr"), F.explode(at).alias("pos")).where("pos > 0")
+    return features.bases_at(loci, features.pieces(s, 128), 128)
+
+
+def rope_functions(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "reference").withColumn("at", (F.length("seq") / 3).cast("int"))
+    whole = text.joined(F.col("seq"), F.lit("-"), F.reverse("seq"))
+    cut = text.split_at(whole, F.col("at"))
+    return s.select("seq_id", F.md5(whole).alias("whole"), text.sliced(whole, F.col("at") - 3, F.col("at") + 5).alias("slice"), cut["left"].alias("head"), F.length(cut["right"]).alias("rest"), text.found_at(whole, F.lit("-")).alias("mark"), text.found_at(whole, F.lit("?")).alias("none"))
+
+
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    registry.register(spark)
+    rows = kmers.kmers(view(spark, sf, "reference"), 11, "seq_id").select("seq_id", "pos", "kmer")
+    names = ("revcomp", "canonical_kmer", "kmer_pack", "gc_fraction")
+    return rows.select("seq_id", "pos", *(F.expr(f"hx_{n}(kmer)").alias(n) for n in names), F.expr("hx_kmer_unpack(hx_kmer_pack(kmer), 11)").alias("back"), F.expr("hx_info_value(concat('a=1;k=', kmer), 'k')").alias("info"))
+
+
+def _kept(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
+    return f"{root.rstrip('/')}/{name}-{spark._jvm.java.util.UUID.randomUUID()}"
+
+
+def tsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "tsv")
+    text_formats.write_tsv(_whole(spark, sf).select("chr", "pos", *counts.COUNTS, "indels"), at)
+    return text_formats.read_tsv(spark, at, text_formats.COUNTS_DDL)
+
+
+def bed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "bed")
+    text_formats.write_tsv(view(spark, sf, "regions").select("chr", "start", "end", "gene"), at, header=False)
+    return text_formats.read_bed(spark, at)
+
+
+def sam_read(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "sam")
+    fields = [F.concat(F.lit("read"), "id"), "flags", "chr", "pos", F.lit(60), "cigar", F.lit("*"), F.lit(0), "tlen", "seq", F.lit("*"), F.lit("NM:i:0")]
+    view(spark, sf, "alignments").select(F.concat_ws("\t", *(F.col(f).cast("string") if isinstance(f, str) else f.cast("string") for f in fields))).write.text(at)
+    return text_formats.read_sam(spark, at).select("name", "flags", "chr", "pos", "cigar", "tlen", "seq", "qual")
+
+
+def fastq_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "fastq")
+    rows = view(spark, sf, "seqs").where("length(seq) > 0").select(F.concat(F.lit("r"), "seq_id").alias("id"), "seq", F.lit("").alias("id2"), F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    sequences.write_fastq(rows, at)
+    return sequences.read_fastq(spark, at).select("id", F.md5("seq").alias("seq"), F.length("qual").alias("n"))
+
+
+def fasta_read(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "fasta")
+    view(spark, sf, "reference").select(F.concat(F.lit(">s"), "seq_id", F.lit(" some words\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n"))).write.text(at)
+    return sequences.read_fasta(spark, at).select("name", F.md5("seq").alias("seq"))
+
+
+def vcf_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "vcf")
+    c = _calls(spark, sf)
+    parts = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (("AC", F.col("ac")), ("DP", F.col("dp")))))
+    text_formats.write_vcf(c.select("chr", "pos", "id", "ref", "alt", F.round("qual", 2).alias("qual"), "filter", parts.alias("info")), at)
+    found = text_formats.read_vcf(spark, at)
+    return found.select("chr", "pos", "ref", "alt", "qual", "filter", text.pairs_text(F.col("info")).alias("info"))
+
+
+def gff3_read(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "gff3")
+    attributes = F.concat(F.lit("ID="), "id", F.when(F.col("parent").isNull(), F.lit("")).otherwise(F.concat(F.lit(";Parent="), "parent")))
+    f = view(spark, sf, "features")
+    f.select(F.concat_ws("\t", "chr", F.lit("."), "type", F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("."), attributes)).write.text(at)
+    return text_formats.gff3_features(text_formats.read_gff3(spark, at))
+
+
+def refgene_read(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "refgene")
+    t = view(spark, sf, "transcripts")
+    exons = [F.concat_ws(",", *((F.col("txStart") + n).cast("string") for n in ns), F.lit("")) for ns in ((0, 45, 75), (30, 60, 90))]
+    fields = [F.lit(0), "accession", "chr", "strand", "txStart", "txEnd", "cdsStart", "cdsEnd", F.lit(3), *exons, F.lit(0), F.lit("gene"), F.lit("cmpl"), F.lit("cmpl"), F.lit("0,0,0,")]
+    t.select(F.concat_ws("\t", *(F.col(f).cast("string") if isinstance(f, str) else f.cast("string") for f in fields))).write.text(at)
+    found = text_formats.read_refgene(spark, at)
+    return found.select("name", "chrom", "strand", "txStart", "txEnd", F.size("exons").alias("n_exons"), F.col("exons")[2]["last"].alias("last_base"))
+
+
+def intervals_saved(spark: SparkSession, sf: str) -> DataFrame:
+    at = _kept(spark, "intervals")
+    intervals.save(view(spark, sf, "regions"), at)
+    return intervals.load(spark, at)
+
+
+def stream_counts_indels(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts with their longer events, merged file by file as they arrive."""
+    at = _kept(spark, "merge")
+    rows = view(spark, sf, "counts").drop("sample")
+    rows.repartition(4).write.parquet(f"{at}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    arriving.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(incremental.merging_sink(spark, f"{at}/out")).start().awaitTermination()
+    return incremental.merged_table(spark, f"{at}/out").select("chr", "pos", "indels")
+
+
 def _as_stream(spark: SparkSession, rows: DataFrame, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The final state of ``query`` over ``rows`` as a stream of files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='helixframe-stream-')}"
-    at = f"{root.rstrip('/')}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    at = _kept(spark, "stream")
     rows.repartition(4).write.parquet(f"{at}/in")
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
 

@@ -40,6 +40,14 @@ def merging_sink(spark: SparkSession, folder: str) -> Callable[[DataFrame, int],
     return merge
 
 
+def merged_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The last version that merging_sink() has written below ``folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    last = max(int(f.getPath().getName().partition("=")[2]) for f in found)
+    return spark.read.parquet(f"{folder}/version={last}")
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(start, event_type, n, total) of a stream of events (ts, event_type, value) by time, closed when none can be late any more."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

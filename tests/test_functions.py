@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions import alignment, chrom, coding, kmers, stats, text, variants
+from helixframe.functions import alignment, chrom, coding, kmers, registry, stats, text, variants
 from helixframe.operators import features, hash_search
 
 SEQ = "AGCCAGTTCCGGGTGTCGCCGCTGGATCGGACCTGGAACCTGGGCGAGACAGTGGAGCTG"
@@ -100,11 +100,14 @@ def test_locus_order(spark):
 def test_genome_axis(spark):
     g = chrom.genome_map(spark, '{"b": 10, "a": 5, "c": 7}')
     loci = spark.createDataFrame([("a", 0), ("b", 9), ("c", 6), ("zz", 1)], "chr string, pos long")
-    linear = chrom.to_linear(loci, g)
+    linear = chrom.to_linear(loci, g, missing="drop")
+    with pytest.raises(Exception, match="no such sequence: zz"):
+        chrom.to_linear(loci, g).collect()
+    assert {r.chr: r.linear for r in chrom.to_linear(loci, g, missing="null").collect()}["zz"] is None
     assert sorted(r.linear for r in linear.collect()) == [0, 14, 21]
     off = spark.createDataFrame([(22,), (-1,)], "linear long")
     assert sorted((r.chr, r.pos) for r in chrom.from_linear(linear.select("linear").unionByName(off), g).collect()) == [("a", 0), ("b", 9), ("c", 6)]
-    assert sum(chrom.HG38.values()) > 3_080_000_000 and len(chrom.HG19) == 25
+    assert sum(chrom.HG38.values()) > 3_080_000_000 and len(chrom.HG19) == 91 and sum(chrom.HG19.values()) == 3136851001
 
 
 def test_cigar_and_flags(spark):
@@ -162,7 +165,8 @@ def test_general_notation(spark):
 def test_alleles_described(spark):
     df = spark.createDataFrame([("1", 10, "A", "G,AT"), ("1", 20, "GAT", "G"), ("1", 30, "ACGT", "ATT"), ("1", 40, "AGAA", "ATTC"), ("1", 50, "AC", "AC")], "chr string, pos long, ref string, alt string")
     got = [(r.kind, r.first, r["last"], r.dalt) for r in variants.described(df).collect()]
-    assert got == [("sub", 10, 10, "G"), ("ins", 10, 11, "T"), ("del", 21, 22, ""), ("delins", 31, 33, "TT"), ("inv", 41, 43, "TTC"), ("delins", 52, 51, "")]
+    assert got == [("sub", 10, 10, "G"), ("ins", 10, 11, "T"), ("del", 21, 22, ""), ("delins", 31, 33, "TT"), ("inv", 41, 43, "TTC"), ("id", 50, 51, "AC")]
+    assert variants.described(df.where("pos = 50"), compat=True).first().kind == "delins"
     assert variants.described(df, compat=True).collect()[2]["last"] == 23
 
 
@@ -232,3 +236,40 @@ def test_hash_search(spark):
     rows = hash_search.search(spark, 6, values=4096).collect()
     assert len(rows) == 6 and all(len(r.lefts) == 2 and 0 <= r.p_bits <= 1 and 0 <= r.p_bins <= 1 for r in rows) and rows == hash_search.search(spark, 6, values=4096).collect()
     assert hash_search.scores(np.zeros(1000, dtype=np.uint64))[1] < 1e-9
+
+
+def test_numbers_as_the_c_library_writes_them(spark):
+    df = spark.createDataFrame([(0.165,), (0.125,), (1.0,), (1e-5,), (0.0001,), (123.0,), (None,), (0.0,)], "x double")
+    got = [tuple(r) for r in df.select(text.formatted("%.2f", F.col("x")), text.formatted("%2.2g", F.col("x"))).collect()]
+    assert got == [("0.17", "0.17"), ("0.12", "0.12"), ("1.00", " 1"), ("0.00", "1e-05"), ("0.00", "0.0001"), ("123.00", "1.2e+02"), (None, None), ("0.00", " 0")]
+
+
+def test_ropes(spark):
+    df = spark.createDataFrame([("abcdef", 2, 4), ("", 0, 3), ("xyz", -1, 99), (None, 0, 1)], "s string, a int, b int")
+    cut = text.split_at(F.col("s"), F.col("b"))
+    got = [tuple(r) for r in df.select(text.sliced(F.col("s"), F.col("a"), F.col("b")), cut["left"], cut["right"], text.found_at(F.col("s"), F.lit("c")), text.joined(F.col("s"), F.lit("!"))).collect()]
+    assert got == [("cd", "abcd", "ef", 2, "abcdef!"), ("", "", "", 0, "!"), ("xyz", "xyz", "", 3, "xyz!"), (None, None, None, None, None)]
+
+
+def test_functions_by_name(spark):
+    names = registry.register(spark, "t_")
+    assert len(names) == len(registry.FUNCTIONS)
+    row = spark.sql("select t_revcomp('acgn'), t_canonical_kmer('TTG'), t_kmer_pack('ACGT'), t_kmer_unpack(27, 4), t_kmer_distance(27, 24), t_chrom_rank('chrX'), t_chrom_rank('7'), t_chrom_rank('chrM'), t_phred(0.001D), t_flag_set(5, 4), t_info_value('a=1;b=2=3', 'b'), t_gc_fraction('')").first()
+    assert tuple(row) == ("NCGT", "CAA", 27, "ACGT", 1, 23, 7, None, 30.0, True, "2=3", None)
+
+
+def test_hash_scores_of_both_kinds():
+    values = kmers.multiply_rotate(np.arange(20_000, dtype=np.uint64))
+    (a, p, x), (b, q, y) = hash_search.scores(values), hash_search.scores(values, compat=True)
+    assert a == pytest.approx(2 * b) and x == y and 0 < p < 1 and q > 0.99
+
+
+def test_text_hash_of_all_lengths(spark):
+    texts = ["", "a", "12345678", "123456789", "x" * 40, "\u00e9\u00e9"]
+    want = []
+    for t in texts:
+        h, raw = np.array([17], dtype=np.uint64), t.encode()
+        for i in range(0, len(raw), 8):
+            h = kmers.multiply_rotate(h ^ np.uint64(int.from_bytes(raw[i : i + 8], "big")))
+        want.append(int(h.view(np.int64)[0]))
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(kmers.mixed64_text(F.lit(17).cast("long"), F.col("t"))).collect()] == want

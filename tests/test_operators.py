@@ -175,3 +175,17 @@ def test_tables(spark):
     v = spark.createDataFrame([(x,) for x in (5, 5, 9, 2)], "value long")
     assert rows(tables.ranks(v, spark.createDataFrame([(x,) for x in (0, 5, 6, 100)], "query long"))) == [(0, 0), (5, 1), (6, 2), (100, 3)]
     assert rows(tables.selected(v, spark.createDataFrame([(0,), (2,)], "place long"))) == [(0, 2), (2, 9)]
+
+
+def test_bases_of_a_stored_genome(spark):
+    stored = features.pieces(spark.createDataFrame([("chr1", "acgtACGTNN"), ("chr2", "TT")], "acc string, seq string"), 4)
+    loci = spark.createDataFrame([("chr1", p) for p in range(0, 13)] + [("chr2", 2), ("chr3", 1), ("chr1", 5)], "chr string, pos long")
+    got = {(r.chr, r.pos): r.ref for r in features.bases_at(loci, stored, 4).collect()}
+    assert got == {**{("chr1", i + 1): b for i, b in enumerate("ACGTACGTNN")}, ("chr2", 2): "T"}
+
+
+def test_intervals_saved_and_loaded(spark, tmp_path):
+    rows = [("chr2", 5, 9, "b"), ("chr1", 7, 8, "a"), ("chr1", 1, 3, None)]
+    df = spark.createDataFrame(rows, "chr string, start long, end long, gene string")
+    intervals.save(df, f"file://{tmp_path}/set")
+    assert sorted(map(str, intervals.load(spark, f"file://{tmp_path}/set").collect())) == sorted(map(str, df.collect()))
