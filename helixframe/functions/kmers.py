@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 MASK32 = 0xFFFFFFFF
 
@@ -56,6 +57,98 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
+#: Two bits of each letter, 4 for any other, and bases that are packed at a time.
+_CODES = np.full(256, 4, dtype=np.uint8)
+for _i, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
+    _CODES[list(_letters)] = _i
+AT_ONCE = 1 << 20
+
+
+def hash32(x: np.ndarray, seed: int) -> np.ndarray:
+    """with_hash32() of an array of packed k-mers."""
+    m, h = np.uint64(MASK32), np.full(len(x), seed, dtype=np.uint64)
+    rolled = lambda a, r: ((a << np.uint64(r)) | (a >> np.uint64(32 - r))) & m
+    for word in (x >> np.uint64(32), x & m):
+        h ^= rolled(word * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (rolled(h, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint64(shift)
+        h = h * np.uint64(factor) & m
+    return h ^ (h >> np.uint64(16))
+
+
+def packed_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, packed k-mers, those of the other strand) of the windows of ``codes`` without a letter other than A, C, G, T."""
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    odd = np.concatenate(([0], np.cumsum(codes > 3)))
+    at = np.flatnonzero(odd[k:] == odd[:-k])
+    c = (codes & 3).astype(np.uint64)
+    x, y = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        x = (x << np.uint64(2)) | c[j : j + n]
+        y |= (np.uint64(3) - c[j : j + n]) << np.uint64(2 * j)
+    return at, x[at], y[at]
+
+
+def packed_kmers(df: DataFrame, k: int, *keep: str, seq: str = "seq", strands: str = "canonical", seed: int | None = None, among: int = 1, take: int = 1) -> DataFrame:
+    """Counted k-mers of up to 31 bases as packed longs: keep, x, strand, palindrome and n, partial counts of each.
+
+    ``strands`` is "forward", "both" (each k-mer, and its reverse complement with strand -) or "canonical" (the lesser of
+    the two). With a ``seed`` only those stay whose hash32() leaves less than ``take`` when divided by ``among``. Letters
+    are packed, compared, hashed and counted as arrays of a million bases, which takes a tenth of the time of cutting
+    texts, and what leaves is eight bytes to a k-mer; rows of one ``keep`` are counted together as far as they come in one
+    batch. Sequences of any length are cut with overlaps; a null one has no k-mers.
+    """
+    if not 0 < k < 32 or strands not in ("forward", "both", "canonical"):
+        raise ValueError("k must be 1 to 31, strands forward, both or canonical")
+
+    def counted(rows: np.ndarray, x: np.ndarray, strand: np.ndarray, palindrome: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+        if seed is not None:
+            hit = hash32(x, seed) % np.uint64(among) < np.uint64(take)
+            rows, x, strand, palindrome = rows[hit], x[hit], strand[hit], palindrome[hit]
+        order = np.lexsort((x, strand, rows)) if keep else np.lexsort((x, strand))
+        rows, x, strand, palindrome = (a[order] for a in (rows if keep else np.zeros_like(rows), x, strand, palindrome))
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (strand[1:] != strand[:-1]) | (rows[1:] != rows[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        signs = pa.array(np.where(strand[first], "-", "+"), pa.string())
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(rows[first])) for c in b.columns[:-1]), pa.array(x[first].view(np.int64)), signs, pa.array(palindrome[first]), pa.array(n.astype(np.int64))], names=[*keep, "x", "strand", "palindrome", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pieces, owner, size = [], [], 0
+            for i, text in enumerate(b.column(len(keep)).to_pylist()):
+                raw = (text or "").encode()
+                for start in range(0, max(len(raw) - k + 1, 0), AT_ONCE):
+                    piece = raw[start : start + AT_ONCE + k - 1]
+                    # A letter that is none keeps sequences apart.
+                    pieces.append(piece + b" ")
+                    owner.append((i, len(piece) + 1))
+                    size += len(piece)
+                    if size >= AT_ONCE:
+                        yield packed(pieces, owner, b)
+                        pieces, owner, size = [], [], 0
+            if pieces:
+                yield packed(pieces, owner, b)
+
+    def packed(pieces: list[bytes], owner: list[tuple[int, int]], b: pa.RecordBatch) -> pa.RecordBatch:
+        codes = _CODES[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        at, x, y = packed_windows(codes, k)
+        rows = np.repeat(np.array([i for i, _ in owner]), [n for _, n in owner])[at]
+        same = x == y
+        if strands == "both":
+            return counted(np.tile(rows, 2), np.concatenate((x, y)), np.repeat([False, True], len(x)), np.tile(same, 2), b)
+        return counted(rows, np.minimum(x, y) if strands == "canonical" else x, np.zeros(len(x), dtype=bool), same, b)
+
+    kept = df.select(*keep)
+    schema = StructType([*kept.schema.fields, StructField("x", LongType()), StructField("strand", StringType()), StructField("palindrome", BooleanType()), StructField("n", LongType())])
+    return df.select(*keep, F.col(seq).alias("__seq")).mapInArrow(run, schema)
+
+
 def _times32(a: Column, c: int) -> Column:
     # In halves, as the whole product could overflow a long.
     low, high = a.bitwiseAND(F.lit(0xFFFF)) * c, F.shiftleft((F.shiftright(a, 16) * c).bitwiseAND(F.lit(0xFFFF)), 16)

@@ -7,6 +7,7 @@ chromosome with and without "chr" are one key; see functions.chrom.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from helixframe.functions.alignment import atoms, flag
 from helixframe.functions.chrom import chr_key
@@ -71,6 +72,24 @@ def divergences(counts: DataFrame, whole: DataFrame) -> DataFrame:
     return met.select(*keep, "chr", "pos", F.when(F.col("__nA").isNull(), 0.0).otherwise(d).alias("kld"), F.lit(1.0).alias("pval"))
 
 
+def own_divergences(counts: DataFrame) -> DataFrame:
+    """divergences() of ``counts`` from its own merged counts, with key, what names of one chromosome share.
+
+    The rows of a locus, one to a sample, are summed where they meet, so the counts are read and dealt out once; a fit per
+    key and position needs no further shuffle.
+    """
+    w = Window.partitionBy("key", "pos")
+    keyed = counts.withColumn("key", chr_key(F.col("chr")))
+    met = keyed.select("*", *(F.sum(c).over(w).alias(f"__{c}") for c in CATEGORIES))
+    d = kld([F.col(c) for c in CATEGORIES], [F.col(f"__{c}") for c in CATEGORIES])
+    keep = [c for c in ("sample",) if c in counts.columns]
+    return met.select(*keep, "chr", "pos", d.alias("kld"), F.lit(1.0).alias("pval"), "key")
+
+
+def _key(scores: DataFrame) -> Column:
+    return F.col("key") if "key" in scores.columns else chr_key(F.col("chr")).alias("key")
+
+
 def _fitted(stats: DataFrame) -> DataFrame:
     k, theta = gamma_parameters(F.col("n"), F.col("sx"), F.col("slx"), F.col("sxlx"))
     return stats.select("chr", "pos", "n", "sx", "slx", "sxlx", k.alias("k"), theta.alias("theta"))
@@ -79,7 +98,7 @@ def _fitted(stats: DataFrame) -> DataFrame:
 def gamma_fit(scores: DataFrame) -> DataFrame:
     """The gamma table of ``scores`` (chr, pos, kld): count, sums over positive values, shape and scale per locus."""
     x = F.when(F.col("kld") > 0, F.col("kld"))
-    sums = scores.groupBy(chr_key(F.col("chr")).alias("__key"), "pos").agg(
+    sums = scores.groupBy(_key(scores), "pos").agg(
         F.min("chr").alias("chr"), F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(e), F.lit(0.0)).alias(c) for c, e in (("sx", x), ("slx", F.log(x)), ("sxlx", x * F.log(x))))
     )
     return _fitted(sums)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.alignment import flag
 from helixframe.functions.chrom import to_linear
-from helixframe.functions.variants import locus_text, transcript_locus
+from helixframe.functions.kmers import complemented
+from helixframe.functions.variants import coding, locus_text, transcript_locus
 from helixframe.operators.intervals import depth_histogram, overlaps
 
 #: Template lengths of reads that count, and bases to a piece of a stored sequence.
@@ -111,3 +112,19 @@ def on_transcripts(variants: DataFrame, transcripts: DataFrame, window: int = 25
     base = lambda c: F.when(F.col("strand") == "-", F.translate(c, "ACGT", "TGCA")).otherwise(F.col(c))
     text = F.concat("accession", F.lit(":c."), locus_text(F.col("l.zone"), F.col("l.pos"), F.col("l.rel")), base("ref"), F.lit(">"), base("alt"))
     return met.select("chr", "pos", "ref", "alt", "accession", F.col("l.zone").alias("zone"), F.col("l.pos").alias("place"), F.col("l.rel").alias("rel"), text.alias("hgvsc"))
+
+
+def described_on_transcripts(described: DataFrame, transcripts: DataFrame, window: int = 250, *, compat: bool = False) -> DataFrame:
+    """Variants of any kind (chr, kind, first, last, dref, dalt) written for each transcript nearby: accession and hgvsc.
+
+    Each end of the range is placed on the transcript by itself; on the reverse strand the ends change places and
+    sequences are complemented.
+    """
+    met = transcripts_near(described.withColumn("pos0", F.col("first") - 1), transcripts, window)
+    met = met.withColumn("tx", F.struct("strand", "txStart", "txEnd", "cdsStart", "cdsEnd", "exons"))
+    met = met.withColumns({"__a": transcript_locus(F.col("first"), compat=compat), "__z": transcript_locus(F.col("last"), compat=compat)})
+    back = F.col("strand") == "-"
+    low, high = F.when(back, F.col("__z")).otherwise(F.col("__a")), F.when(back, F.col("__a")).otherwise(F.col("__z"))
+    base = lambda c: F.when(back, complemented(F.col(c))).otherwise(F.col(c))
+    text = coding(F.col("accession"), F.col("kind"), low, high, base("dref"), base("dalt"))
+    return met.select("chr", "kind", "first", "last", "dref", "dalt", "accession", text.alias("hgvsc"))

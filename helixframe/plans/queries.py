@@ -31,7 +31,7 @@ def _r(c: str, n: int = 6):
 
 
 def kld_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return counts.gamma_fit(_scores(spark, sf)).select("chr", "pos", "n", _r("sx"), _r("slx"), _r("sxlx"), _r("k", 3), _r("theta"))
+    return counts.gamma_fit(counts.own_divergences(view(spark, sf, "counts"))).select("chr", "pos", "n", _r("sx"), _r("slx"), _r("sxlx"), _r("k", 3), _r("theta"))
 
 
 def pileup_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ def gamma_fit_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gamma_pval(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _scores(spark, sf)
+    scores = counts.own_divergences(view(spark, sf, "counts"))
     fitted = counts.gamma_fit(scores)
     return counts.tails(scores, fitted).select("sample", "chr", "pos", _r("kld"), _r("pval", 4))
 

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -273,3 +274,31 @@ def test_text_hash_of_all_lengths(spark):
             h = kmers.multiply_rotate(h ^ np.uint64(int.from_bytes(raw[i : i + 8], "big")))
         want.append(int(h.view(np.int64)[0]))
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(kmers.mixed64_text(F.lit(17).cast("long"), F.col("t"))).collect()] == want
+
+
+def test_packed_kmers_against_cut_ones(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "AT_ONCE", 64)  # longer ones are cut with overlaps
+    rng = random.Random(12)
+    seqs = ["", "ACG", None, "acgtNNacgta" * 3, *("".join(rng.choice("ACGTacgtN") for _ in range(rng.randrange(300))) for _ in range(12)), "AT" * 200]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    for k in (1, 4, 7, 31):
+        cut = kmers.both_strands(kmers.kmers(df, k, "id")).select("id", "strand", kmers.packed(F.col("kmer")).alias("x")).collect()
+        both = {}
+        for r in kmers.packed_kmers(df, k, "id", strands="both").collect():
+            both[r.id, r.strand, r.x] = both.get((r.id, r.strand, r.x), 0) + r.n
+        assert both == Counter((r.id, r.strand, r.x) for r in cut)
+        one = {}
+        for r in kmers.packed_kmers(df, k).collect():
+            one[r.x, r.palindrome] = one.get((r.x, r.palindrome), 0) + r.n
+        text_of = lambda x: "".join("ACGT"[x >> 2 * i & 3] for i in range(k - 1, -1, -1))  # noqa: B023, E731
+        rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        want = Counter(min(text_of(r.x), rc(text_of(r.x))) for r in cut if r.strand == "+")
+        assert {(text_of(x), p): n for (x, p), n in one.items()} == {(t, t == rc(t)): n for t, n in want.items()}
+    with pytest.raises(ValueError):
+        kmers.packed_kmers(df, 32)
+
+
+def test_hash_of_arrays_is_the_hash_of_columns(spark):
+    x = [0, 1, (1 << 62) - 1, 123456789012345, 0xFFFFFFFF, 1 << 32]
+    got = kmers.with_hash32(spark.createDataFrame([(v,) for v in x], "x long"), "x", "h", 17).collect()
+    assert {r.x: r.h for r in got} == dict(zip(x, kmers.hash32(np.array(x, dtype=np.uint64), 17).tolist(), strict=True))

@@ -189,3 +189,26 @@ def test_intervals_saved_and_loaded(spark, tmp_path):
     df = spark.createDataFrame(rows, "chr string, start long, end long, gene string")
     intervals.save(df, f"file://{tmp_path}/set")
     assert sorted(map(str, intervals.load(spark, f"file://{tmp_path}/set").collect())) == sorted(map(str, df.collect()))
+
+
+def test_all_kinds_on_transcripts(spark):
+    exons = [(1000, 1030), (1045, 1060), (1075, 1090)]
+    tx = [(f"NM_{s}", "chr1", s, 1000, 1090, 1015, 1070, exons) for s in "+-"]
+    transcripts = spark.createDataFrame(tx, "accession string, chr string, strand string, txStart long, txEnd long, cdsStart long, cdsEnd long, exons array<struct<first:long,last:long>>")
+    rows = [("sub", 1020, 1020, "A", "C"), ("del", 1020, 1022, "ACG", ""), ("ins", 1020, 1021, "", "GAT"), ("delins", 1029, 1031, "ACG", "TT"), ("dup", 1050, 1050, "T", ""), ("inv", 1017, 1018, "AC", "GT"), ("id", 1020, 1020, "A", "A")]
+    df = spark.createDataFrame([("chr1", *r) for r in rows], "chr string, kind string, first long, last long, dref string, dalt string")
+    got = {(r.kind, r.accession): r.hgvsc for r in features.described_on_transcripts(df, transcripts).collect()}
+    one = {(r.pos, r.accession): (r.zone, r.place, r.rel) for r in features.on_transcripts(spark.createDataFrame([("chr1", p, "A", "C") for p in range(1010, 1055)], "chr string, pos long, ref string, alt string"), transcripts).collect()}
+
+    def place(p, acc):
+        zone, at, rel = one[p, acc]
+        return ("*" if zone == "UTR3" else "") + str(at) + ("" if zone == "CODING" else f"{rel:+d}" if rel or zone == "INTRON" else "")
+
+    turned = str.maketrans("ACGT", "TGCA")
+    for kind, a, z, ref, alt in rows:
+        for acc in ("NM_+", "NM_-"):
+            low, high = (place(z, acc), place(a, acc)) if acc == "NM_-" else (place(a, acc), place(z, acc))
+            r, t = (x[::-1].translate(turned) if acc == "NM_-" else x for x in (ref, alt))
+            at = low if a == z else f"{low}_{high}"
+            want = {"sub": f"{at}{r}>{t}", "del": f"{at}del", "ins": f"{at}ins{t}", "delins": f"{at}delins{t}", "dup": f"{at}dup", "inv": f"{at}inv", "id": f"{at}="}[kind]
+            assert got[kind, acc] == f"{acc}:c.{want}"
