@@ -38,6 +38,8 @@ TRAIN_ROWS = 3000
 #: Natural logarithms: cost of a change of language, and the most one word can speak against a language.
 SWITCH, WORST = 14.0, 10.0
 MEMO_WORDS = 400_000
+#: What a model may weigh that is sent to all workers: half a MB to a language, so some 500 languages.
+MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
 SPAN = StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("lang", StringType())])
 FOUND = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN))]
@@ -94,7 +96,9 @@ def fit(docs: DataFrame, *, per_lang: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs`` (doc_id, text, lang); rows with a null text or lang don't count.
 
     Of a language with more than ``per_lang`` rows, about that many are taken by a hash of their ids; each is used whole.
-    The model's size depends on the number of languages only.
+    The model's size depends on the number of languages only; more than MODEL_BYTES of it are an error. Without a
+    labelled row the model knows no language. Texts of any length are counted whole; repeated rows and null ids count as
+    any; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
@@ -102,6 +106,8 @@ def fit(docs: DataFrame, *, per_lang: int = TRAIN_ROWS) -> Model:
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), {})
+    if len(langs) * BUCKETS * 8 > MODEL_BYTES:
+        raise ValueError(f"{len(langs)} labels are more than a model of {MODEL_BYTES} bytes holds")
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     taken = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 

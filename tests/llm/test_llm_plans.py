@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from helixframe.llm import decontamination, pii
 
 
+FOREIGN = ("Python", "Pandas", "ArrowEval", "MapInArrow", "NestedLoop", "Cartesian")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -15,8 +18,13 @@ def test_decontamination_is_native(spark, monkeypatch, limit):
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
     p = plan(decontamination.overlaps(docs, items))
-    assert not any(x in p for x in ("Python", "Pandas", "ArrowEval", "MapInArrow", "NestedLoop", "Cartesian")) and ("BroadcastHashJoin" in p) == bool(limit) or limit == 0
+    spark.conf.set(name, before)
+    assert not any(x in p for x in FOREIGN)
+    assert ("BroadcastHashJoin" in p) == bool(limit) and ("SortMergeJoin" in p) == (not limit)
 
 
 def test_the_hits_join_is_compiled(spark):
@@ -30,6 +38,15 @@ def test_the_hits_join_is_compiled(spark):
     assert p.count(f"*({stage}) Generate") == 2
 
 
-def test_personal_data_is_native(spark):
-    p = plan(pii.pseudonymised(spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string"), "k"))
-    assert not any(x in p for x in ("Python", "Pandas", "ArrowEval", "MapInArrow", "NestedLoop", "Cartesian"))
+def test_personal_data_is_native(spark, monkeypatch):
+    """The plans of all tables that are written on the way, and the last one."""
+    plans = []
+
+    def seen(df, name, real=pii.written):
+        plans.append(plan(df))
+        return real(df, name)
+
+    monkeypatch.setattr(pii, "written", seen)
+    docs = spark.createDataFrame([(1, "a@b.com, Mrs Anna Smith, 10.0.0.1")], "doc_id long, text string")
+    plans.append(plan(pii.pseudonymised(docs, "k")))
+    assert len(plans) >= 8 and not any(x in p for p in plans for x in FOREIGN)

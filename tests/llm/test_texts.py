@@ -136,6 +136,14 @@ def test_language(spark):
     assert language.identify(odd(spark), nothing).where("lang_pred <> 'und'").count() == 0 and language.identify(empty(spark), model).count() == 0
 
 
+def test_a_model_of_too_many_labels_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BYTES", 2 * language.BUCKETS * 8)
+    rows = [(i, "some words", f"l{i}") for i in range(3)]
+    with pytest.raises(ValueError):
+        language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(language.fit(spark.createDataFrame(rows[:2], "doc_id long, text string, lang string")).langs) == 2
+
+
 def test_held_out(spark):
     rows = spark.createDataFrame([(i,) for i in (None, *range(50))], "doc_id long").select("doc_id", language.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
