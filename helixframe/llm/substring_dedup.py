@@ -141,7 +141,9 @@ class Index:
             out = self.spark.read.schema(rows.schema).parquet(at)
             self.folders[id(out)] = at
             return out
-        rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", at).option("compression", "zstd").saveAsTable(table)
+        # What an aggregate has just dealt out by the same key, to as many partitions, need not be dealt again.
+        dealt = rows if by == "key" and self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(self.buckets, by)
+        dealt.write.bucketBy(self.buckets, by).sortBy(by).option("path", at).option("compression", "zstd").saveAsTable(table)
         self.tables.append(table)
         out = self.spark.table(table)
         self.folders[id(out)] = at
@@ -156,7 +158,7 @@ class Index:
         return self.spark.read.schema(parts[0].schema).parquet(*(self.folders[id(x)] for x in parts))
 
     def _run(self, places: DataFrame) -> None:
-        """Write places as a run; they are read twice."""
+        """Write ``places``, a written table that is read twice and then goes, as a run."""
         crowd = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("fp")
         crowd = written(crowd, "crowd")
         if crowd.isEmpty():
@@ -164,6 +166,7 @@ class Index:
         else:
             self.runs.append(self._write(places.join(crowd, "fp", "left_anti"), "fp", "run"))
             self.crowded.append(self._write(places.join(crowd, "fp", "left_semi"), None, "crowded"))
+        dropped(places, crowd)
 
     def add(self, docs: DataFrame) -> None:
         """Add a batch of documents as a run; merge the runs of earlier ones if there are many."""
