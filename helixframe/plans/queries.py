@@ -251,7 +251,7 @@ def kmer_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_label_unique(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.labels(view(spark, sf, "seqs"), 25).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return reads.label_counts(view(spark, sf, "seqs"), 25)
 
 
 def read_pair_labels(spark: SparkSession, sf: str) -> DataFrame:
